@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The application this library re-expresses is batch-only (one pipeline run,
+then request/response metric queries); it has no stream, watermark, event
+time window or stateful operator, so there is nothing to build here.
+"""
