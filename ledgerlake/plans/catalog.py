@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from functools import cache
 
-from . import metric_catalog
+from . import metric_catalog, pipeline_catalog
 
 
 @cache
 def _build():
     q, o = {}, {}
-    for mod in (metric_catalog,):
+    for mod in (metric_catalog, pipeline_catalog):
         mq, mo = mod.build()
         q.update(mq)
         o.update(mo)
