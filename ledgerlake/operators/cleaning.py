@@ -88,16 +88,22 @@ def completeness_score(df: DataFrame, cols: list[str] | None = None) -> Column:
 
 
 def dedup_winners(df: DataFrame, key: str = "order_id", order_col: str = SOURCE_POS,
-                  score_cols: list[str] | None = None) -> DataFrame:
-    """Per key: the fullest row's position and the key's row count.
+                  score_cols: list[str] | None = None, eligible: Column | None = None) -> DataFrame:
+    """Per key: the fullest eligible row's position and the key's row count.
 
     A plain aggregate (partial aggregation on the map side), so a key that
     holds a third of all rows is folded inside every task instead of being
-    sorted in one.
+    sorted in one. Ineligible rows are skipped inside the aggregate rather
+    than by a filter, which would be pushed down and re-evaluate the whole
+    cleaning expression tree in the scan.
     """
     score = completeness_score(df, score_cols)
-    best = F.min(F.struct((-score).alias("neg_score"), F.col(order_col).alias("pos")))
-    return df.groupBy(key).agg(best["pos"].alias("_keep_pos"), F.count(F.lit(1)).alias("_dup_count"))
+    cand = F.struct((-score).alias("neg_score"), F.col(order_col).alias("pos"))
+    if eligible is not None:
+        cand = F.when(eligible, cand)
+    best = F.min(cand)
+    count = F.count(F.lit(1)) if eligible is None else F.count_if(eligible)
+    return df.groupBy(key).agg(best["pos"].alias("_keep_pos"), count.alias("_dup_count"))
 
 
 def mark_duplicates(df: DataFrame, key: str = "order_id", order_col: str = SOURCE_POS,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import cache
 
+from ..session import apply_sql_defaults
 from . import metric_catalog, pipeline_catalog
 
 
@@ -17,8 +18,17 @@ def _build():
     return q, o
 
 
+def _with_defaults(fn):
+    def run(spark, sf_dir):
+        apply_sql_defaults(spark)
+        return fn(spark, sf_dir)
+
+    run.__name__ = getattr(fn, "__name__", "query")
+    return run
+
+
 def queries():
-    return dict(_build()[0])
+    return {k: _with_defaults(v) for k, v in _build()[0].items()}
 
 
 def oracle_sql():

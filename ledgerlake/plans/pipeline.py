@@ -52,7 +52,7 @@ def audited_rows(raw: DataFrame, checkpoint: bool = False, with_anomaly: bool =
         std = materialize(std, "standardized")
     data = C.data_columns(std)
     miss = C.missing_critical(std)
-    winners = C.dedup_winners(std.filter(~miss), score_cols=data)
+    winners = C.dedup_winners(std, score_cols=data, eligible=~miss)
     marked = (
         std.withColumn("_missing", miss)
         .join(winners, "order_id", "left")

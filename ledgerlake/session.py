@@ -19,6 +19,9 @@ DEFAULT_CONF: dict[str, str] = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # Fall back from whole-stage codegen for methods HotSpot would refuse to
+    # JIT-compile (> 8000 bytes of bytecode) instead of interpreting them.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -43,6 +46,21 @@ def get_spark(
     return spark
 
 
+# Runtime SQL settings the library's plans rely on; safe to apply to a
+# session someone else built.
+SQL_DEFAULTS: dict[str, str] = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def apply_sql_defaults(spark: SparkSession) -> SparkSession:
+    for k, v in SQL_DEFAULTS.items():
+        spark.conf.set(k, v)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession, local_default: str | None = None) -> str:
     """Return the cluster's shared checkpoint folder.
 
