@@ -140,9 +140,20 @@ def dedup_keep_fullest(df: DataFrame, key: str = "order_id", order_col: str = SO
 
 
 def add_customer_fields(df: DataFrame, seed: int = R.NAME_SEED) -> DataFrame:
+    """customer_name / customer_type from salted SHA-256 of the customer id.
+
+    The two digests are their own columns first, so each is computed once
+    per row (the fold reads a digest eight times).
+    """
     if "customer" not in df.columns:
         return df
-    return df.withColumns({
-        "customer_name": S.synthetic_customer_name("customer", seed),
-        "customer_type": S.customer_type("customer", seed),
+    grid = len(R.FIRST_NAMES) * len(R.LAST_NAMES)
+    cust = F.col("customer")
+    with_h = df.withColumns({
+        "_h_name": S.sha256_hex(S.name_seed_text(cust, seed)),
+        "_h_type": S.sha256_hex(S.type_seed_text(cust, seed)),
     })
+    return with_h.withColumns({
+        "customer_name": F.when(cust.isNotNull(), S.name_from_index(S.hex_mod("_h_name", grid))),
+        "customer_type": F.when(cust.isNotNull(), S.type_from_bucket(S.hex_mod("_h_type", 100))),
+    }).drop("_h_name", "_h_type")

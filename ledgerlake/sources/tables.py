@@ -157,11 +157,17 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_extendedprice", "l_discount", "l_shipdate",
     )
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
+    # Shared values become columns first so the text builders below read
+    # them instead of re-deriving them in every branch.
+    base = li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        "*",
+        (F.col("l_extendedprice").cast("decimal(18,2)") * F.lit(0.25)).cast("decimal(18,2)").alias("_x"),
+        F.col("l_shipdate").cast("date").alias("_d"),
+    )
+    base = base.select("*", F.col("_x").cast("string").alias("_t"), F.floor("_x").cast("bigint").alias("_ip"))
     k, n, p, s = F.col("l_orderkey"), F.col("l_linenumber").cast("bigint"), F.col("l_partkey"), F.col("l_suppkey")
 
-    x = (F.col("l_extendedprice").cast("decimal(18,2)") * F.lit(0.25)).cast("decimal(18,2)")
-    t = x.cast("string")
-    ip = F.floor(x).cast("bigint")
+    x, t, ip = F.col("_x"), F.col("_t"), F.col("_ip")
     cents = F.lpad(((x - ip) * 100).cast("int").cast("string"), 2, "0")
     grouped = F.when(
         ip >= 1000,
@@ -189,7 +195,7 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(vd == 1, F.concat(F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%")))
     )
 
-    d = F.col("l_shipdate").cast("date")
+    d = F.col("_d")
     vt = (k + 5 * n) % 16
     order_date = (
         F.when(vt == 5, F.date_format(d, "MM/dd/yyyy"))
@@ -229,6 +235,4 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         customer, product, F.col("p_type"),
         _pick(RAW_PAYMENTS, n),
     ]
-    return li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-        source_pos.alias("_source_pos"), *[c.alias(h) for c, h in zip(cols, RAW_HEADERS)]
-    )
+    return base.select(source_pos.alias("_source_pos"), *[c.alias(h) for c, h in zip(cols, RAW_HEADERS)])
