@@ -27,11 +27,18 @@ def _raw(s, sf):
 
 
 def _audited(s, sf, anomaly=False):
-    return PL.audited_rows(_raw(s, sf), with_anomaly=anomaly)
+    # The anomaly fences need several passes over the survivors: cut the
+    # lineage to Parquet in the checkpoint folder first so each pass reads
+    # the staged table instead of recomputing clean + dedup.
+    if anomaly:
+        ensure_checkpoint_dir(s)
+    return PL.audited_rows(_raw(s, sf), checkpoint=anomaly, with_anomaly=anomaly)
 
 
 def _res(s, sf, anomaly=False):
-    return PL.run(_raw(s, sf), with_anomaly=anomaly)
+    if anomaly:
+        ensure_checkpoint_dir(s)
+    return PL.run(_raw(s, sf), checkpoint=anomaly, with_anomaly=anomaly)
 
 
 def _scratch(s, name):
