@@ -120,10 +120,22 @@ def report(res: PipelineResult) -> DataFrame:
 
 # ------------------------------------------- stage-by-stage composition ---
 
+def staged_standardize(raw: DataFrame) -> DataFrame:
+    """The standardised stage written once to the checkpoint folder.
+
+    A stage-at-a-time run splits it into kept and rejected rows. Filtering
+    the lazy plan instead would push each split predicate below the
+    projection, re-running the whole cleaning tree inside the filter (and
+    generating one method too large for the JIT); the staged table is read
+    with a plain column predicate.
+    """
+    return materialize(C.standardize(raw), "standardized")
+
+
 def stage_outputs(raw: DataFrame, with_anomaly: bool = True) -> dict[str, DataFrame]:
     """The same pipeline as separate stage outputs, joined back with
     ``unionByName`` — the shape of a stage-at-a-time run."""
-    std = C.standardize(raw)
+    std = staged_standardize(raw)
     kept, clean_rej = C.reject_missing(std)
     deduped, dropped = C.dedup_keep_fullest(kept, score_cols=C.data_columns(std))
     enriched = E.convert_currency(C.add_customer_fields(deduped))

@@ -41,6 +41,17 @@ def _res(s, sf, anomaly=False):
     return PL.run(_raw(s, sf), checkpoint=anomaly, with_anomaly=anomaly)
 
 
+def _raw_staging(s, sf):
+    ensure_checkpoint_dir(s)
+    return _raw(s, sf)
+
+
+def _staged(s, sf):
+    # Queries that split the standardised rows read them from a staged table.
+    ensure_checkpoint_dir(s)
+    return PL.staged_standardize(_raw(s, sf))
+
+
 def _scratch(s, name):
     return os.path.join(ensure_checkpoint_dir(s), f"{name}-{uuid.uuid4().hex}")
 
@@ -95,13 +106,13 @@ def build():
     o["product_code"] = W() + "SELECT _source_pos, replace(replace(upper(product), ' ', '_'), '.', '') AS product_code FROM std"
 
     # ---- clean-stage rejects, duplicates: Q1-Q3, W2, J4
-    q["reject_missing"] = lambda s, sf: C.reject_missing(std(s, sf))[1].select(
+    q["reject_missing"] = lambda s, sf: C.reject_missing(_staged(s, sf))[1].select(
         "_source_pos", "severity", "failure_reason", *[F.col(f"_raw.{c}").alias(f"raw_{c}") for c in DATA])
     o["reject_missing"] = W() + (
         "SELECT _source_pos, 'CRITICAL' AS severity, _miss_reason AS failure_reason, "
         + ", ".join(f"r_{c} AS raw_{c}" for c in DATA) + " FROM std_m WHERE _missing"
     )
-    kept = lambda s, sf: C.reject_missing(std(s, sf))[0]
+    kept = lambda s, sf: C.reject_missing(_staged(s, sf))[0]
     q["dedup_keep_fullest"] = lambda s, sf: C.dedup_keep_fullest(kept(s, sf), score_cols=DATA)[0].select("_source_pos", "order_id")
     o["dedup_keep_fullest"] = W() + "SELECT _source_pos, order_id FROM ranked WHERE NOT _missing AND _rank = 1"
     q["detect_duplicates"] = lambda s, sf: C.detect_duplicates(kept(s, sf)).select("_source_pos", "order_id", "dup_count", "is_duplicate")
@@ -150,7 +161,7 @@ def build():
     o["validate_rules"] = W() + f"SELECT source_pos, validation_issues FROM audited WHERE {SURV}"
     q["max_severity"] = lambda s, sf: _survivors(_audited(s, sf)).select("source_pos", "severity")
     o["max_severity"] = W() + f"SELECT source_pos, severity FROM audited WHERE {SURV}"
-    q["split_valid_rejected"] = lambda s, sf: V.split_valid_rejected(PL.stage_outputs(_raw(s, sf), with_anomaly=False)["validated"])[1].select(
+    q["split_valid_rejected"] = lambda s, sf: V.split_valid_rejected(PL.stage_outputs(_raw_staging(s, sf), with_anomaly=False)["validated"])[1].select(
         "_source_pos", "severity", "failure_reason")
     o["split_valid_rejected"] = W() + "SELECT source_pos AS _source_pos, severity, failure_reason FROM audited WHERE stage = 'VALIDATE'"
     q["validation_summary"] = lambda s, sf: V.validation_summary(_survivors(_audited(s, sf)).withColumn(
@@ -167,7 +178,7 @@ def build():
     o["error_log"] = W(PS.error_log_sql()) + "SELECT * EXCLUDE (is_anomaly) FROM error_log"
 
     def _consolidated(s, sf):
-        st = PL.stage_outputs(_raw(s, sf), with_anomaly=False)
+        st = PL.stage_outputs(_raw_staging(s, sf), with_anomaly=False)
         u = PL.consolidate_rejections(st["clean_rejects"], st["dedup_drops"], st["validate_rejects"])
         return u.select("_source_pos", "stage", "severity", "failure_reason", F.col("_raw.order_id").alias("raw_order_id"), "amount_usd")
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from .. import reference_data as R
 from ..functions import scalars as S
 from ..operators.cleaning import SOURCE_POS
+from .partitioning import spread_scan
 
 # Keep the text exactly as given: no trimming on read or write.
 _CSV_TEXT = {"header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
@@ -30,7 +31,7 @@ def read_raw_sales(spark: SparkSession, path: str | list[str]) -> DataFrame:
     if SOURCE_POS not in header:
         pos = F.concat_ws(":", F.input_file_name(), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
         df = df.withColumn(SOURCE_POS, pos)
-    return df
+    return spread_scan(df, SOURCE_POS)
 
 
 def first_existing(spark: SparkSession, candidates: list[str]) -> str | None:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .. import reference_data as R
 from ..functions import scalars as S
 from ..operators.joins import checked_broadcast
+from .partitioning import spread_scan
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -152,10 +153,10 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``_source_pos`` is a unique, deterministic position key standing in for
     the row number of a CSV file.
     """
-    li = read_table(spark, sf_dir, "lineitem").select(
+    li = spread_scan(read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_shipdate",
-    )
+    ), "l_orderkey")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     # Shared values become columns first so the text builders below read
     # them instead of re-deriving them in every branch.
