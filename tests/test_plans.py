@@ -24,3 +24,26 @@ def test_no_python_udf_anywhere(spark):
 def test_dedup_is_aggregate_not_window(spark):
     p = _plan(PL.run(T.raw_sales(spark, SF_SMALL), with_anomaly=False).audited)
     assert "Aggregate" in p and "Window" not in p  # partial (map-side) aggregate, no per-key sort of all rows
+
+
+def test_single_split_scan_is_spread_over_task_slots(spark):
+    from ledgerlake.sources.partitioning import spread_scan, task_slots
+
+    one = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").coalesce(1)
+    spread = spread_scan(one, "l_orderkey")
+    assert spread.rdd.getNumPartitions() >= task_slots(one)
+    assert "Exchange hashpartitioning(l_orderkey" in _plan(spread)
+    wide = spark.range(0, 1000, numPartitions=task_slots(one))
+    assert spread_scan(wide, "id") is wide  # already parallel: no extra shuffle
+
+
+def test_staged_split_reads_a_plain_predicate(spark):
+    from ledgerlake.operators import cleaning as C
+    from ledgerlake.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    kept, rejected = C.reject_missing(PL.staged_standardize(T.raw_sales(spark, SF_SMALL)))
+    p = _plan(rejected)
+    # the split filters the staged table, it does not re-run the date parser
+    assert "to_timestamp" not in p and "regexp_replace" not in p
+    assert rejected.count() + kept.count() == T.raw_sales(spark, SF_SMALL).count()
