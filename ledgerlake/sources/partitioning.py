@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame
 
 
 def task_slots(df: DataFrame) -> int:
-    return max(1, df.sparkSession.sparkContext.defaultParallelism)
+    try:
+        return max(1, df.sparkSession.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - no SparkContext on Spark Connect
+        return 1
 
 
 def spread_scan(df: DataFrame, *keys: str, min_partitions: int | None = None) -> DataFrame:
@@ -27,6 +30,10 @@ def spread_scan(df: DataFrame, *keys: str, min_partitions: int | None = None) ->
     deterministic, so a retried task sees the same rows.
     """
     target = min_partitions or task_slots(df)
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access (Spark Connect)
+        return df
+    if have >= target:
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
