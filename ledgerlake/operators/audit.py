@@ -30,8 +30,7 @@ def severity_counts(error_log: DataFrame) -> DataFrame:
 
 
 def _dimension_counts(error_log: DataFrame) -> list[Column]:
-    reason = F.coalesce(F.col("failure_reason"), F.lit(""))
-    return [F.count_if(reason.rlike(rx)).alias(name.replace("_score", "_failures")) for name, rx in R.QUALITY_DIMENSIONS.items()]
+    return [F.count_if(c).alias(n) for n, c in _dimension_flags()]
 
 
 def quality_dimensions(raw_count: DataFrame, error_log: DataFrame) -> DataFrame:
@@ -77,14 +76,57 @@ def audit_report(raw: DataFrame, gold: DataFrame, error_log: DataFrame) -> DataF
     """Flat one-row report: reconciliation, status and quality dimensions."""
     counts = reconcile_counts(raw, gold, error_log)
     dims = quality_dimensions(counts.select("raw_total_rows"), error_log)
+    return _flat_report(counts.crossJoin(dims))
+
+
+def _flat_report(counts_and_dims: DataFrame) -> DataFrame:
     score = pct_2dp("valid_rows_gold", "raw_total_rows")
-    return counts.crossJoin(dims).select(
+    return counts_and_dims.select(
         "checksum_status", status_label(score).alias("pipeline_status"),
         "raw_total_rows", "valid_rows_gold", "rejected_rows_total", "mismatch_delta",
         *R.QUALITY_DIMENSIONS, score.alias("overall_quality_score"),
     )
 
 
+def tagged_counts(raw: DataFrame, tagged: DataFrame, stage: str = "stage") -> DataFrame:
+    """Reconciliation counts and dimension failures from the pipeline's
+    tagged rows (one row per raw row, ``stage`` NULL for gold rows).
+
+    Gold, rejected and every dimension count come out of ONE aggregate over
+    the tagged table instead of one job per filtered copy of it. The raw
+    count stays an independent scan of the source, so the checksum still
+    checks raw rows against outcomes.
+    """
+    rejected = F.col(stage).isNotNull()
+    tag = tagged.agg(
+        F.count_if(~rejected).alias("valid_rows_gold"),
+        F.count_if(rejected).alias("rejected_rows_total"),
+        *[F.count_if(rejected & c).alias(n) for n, c in _dimension_flags()],
+    )
+    j = count_rows(raw, "raw_total_rows").crossJoin(tag)
+    delta = F.col("raw_total_rows") - (F.col("valid_rows_gold") + F.col("rejected_rows_total"))
+    return j.select(
+        "*",
+        delta.alias("mismatch_delta"),
+        F.when(delta == 0, F.lit("VERIFIED")).otherwise(F.lit("ERROR_IN_CALCULATION")).alias("checksum_status"),
+    )
+
+
+def _dimension_flags() -> list[tuple[str, Column]]:
+    reason = F.coalesce(F.col("failure_reason"), F.lit(""))
+    return [(name.replace("_score", "_failures"), reason.rlike(rx)) for name, rx in R.QUALITY_DIMENSIONS.items()]
+
+
+def audit_report_tagged(raw: DataFrame, tagged: DataFrame, stage: str = "stage") -> DataFrame:
+    """:func:`audit_report` from the tagged rows (see :func:`tagged_counts`)."""
+    c = tagged_counts(raw, tagged, stage)
+    dims = [
+        pct_2dp(f"(raw_total_rows - {n.replace('_score', '_failures')})", "raw_total_rows").alias(n)
+        for n in R.QUALITY_DIMENSIONS
+    ]
+    return _flat_report(c.select("*", *dims))
+
+
 def nested_report(flat: DataFrame, reasons: DataFrame, severities: DataFrame) -> DataFrame:
     """The report as one row of nested structs/maps (for the JSON sink)."""
     pct = lambda c: F.concat(F.col(c).cast("string"), F.lit("%"))

@@ -115,7 +115,15 @@ def run(raw: DataFrame, checkpoint: bool = False, with_anomaly: bool = True) ->
 
 
 def report(res: PipelineResult) -> DataFrame:
-    return A.audit_report(res.raw, res.gold, res.error_log)
+    """The flat audit report; every outcome count is one aggregate over the
+    tagged rows (gold and the error log are filters of them)."""
+    return A.audit_report_tagged(res.raw, res.audited)
+
+
+def counts(res: PipelineResult) -> DataFrame:
+    """raw / gold / rejected counts, mismatch and checksum status."""
+    return A.tagged_counts(res.raw, res.audited).select(
+        "raw_total_rows", "valid_rows_gold", "rejected_rows_total", "mismatch_delta", "checksum_status")
 
 
 # ------------------------------------------- stage-by-stage composition ---

@@ -206,7 +206,7 @@ def build():
     counts = "(SELECT count(*) FROM raw_sales) AS raw_total_rows, (SELECT count(*) FROM gold) AS valid_rows_gold, (SELECT count(*) FROM error_log) AS rejected_rows_total"
     q["quality_dimensions"] = lambda s, sf: A.quality_dimensions(A.count_rows(_raw(s, sf), "raw_total_rows"), _res(s, sf).error_log)
     o["quality_dimensions"] = el + f"SELECT {dims_sql} FROM error_log, (SELECT count(*) AS raw_total_rows FROM raw_sales) r GROUP BY raw_total_rows"
-    q["reconcile_counts"] = lambda s, sf: A.reconcile_counts(_raw(s, sf), *(lambda r: (r.gold, r.error_log))(_res(s, sf)))
+    q["reconcile_counts"] = lambda s, sf: PL.counts(_res(s, sf))
     o["reconcile_counts"] = el + (
         "SELECT raw_total_rows, valid_rows_gold, rejected_rows_total, raw_total_rows - (valid_rows_gold + rejected_rows_total) AS mismatch_delta, "
         "CASE WHEN raw_total_rows - (valid_rows_gold + rejected_rows_total) = 0 THEN 'VERIFIED' ELSE 'ERROR_IN_CALCULATION' END AS checksum_status "
@@ -216,7 +216,7 @@ def build():
         f"CASE WHEN {PS.pct_2dp('valid_rows_gold', 'raw_total_rows')} >= {R.PASS_THRESHOLD} THEN 'PASS' "
         f"WHEN {PS.pct_2dp('valid_rows_gold', 'raw_total_rows')} >= {R.WARN_THRESHOLD} THEN 'PASS_WITH_WARNINGS' ELSE 'FAIL' END"
     )
-    q["pipeline_status"] = lambda s, sf: A.pipeline_status(A.reconcile_counts(_raw(s, sf), *(lambda r: (r.gold, r.error_log))(_res(s, sf))))
+    q["pipeline_status"] = lambda s, sf: A.pipeline_status(PL.counts(_res(s, sf)))
     o["pipeline_status"] = el + f"SELECT {PS.pct_2dp('valid_rows_gold', 'raw_total_rows')} AS overall_quality_score, {status} AS pipeline_status FROM (SELECT {counts})"
     q["audit_report"] = lambda s, sf: PL.report(_res(s, sf))
     o["audit_report"] = el + (

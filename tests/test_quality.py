@@ -119,3 +119,15 @@ def test_report_arithmetic_of_stored_sample():
     assert pct(5101 - 675, 5101) == 86.77
     assert pct(3342, 5101) == 65.52
     assert dt.date(2024, 1, 1).weekday() == 0
+
+
+def test_tagged_report_equals_three_table_report(spark):
+    from ledgerlake.operators import audit as A
+    from ledgerlake.sources import tables as T
+    from tests.conftest import SF_SMALL
+
+    res = PL.run(T.raw_sales(spark, SF_SMALL), with_anomaly=False)
+    tagged = PL.report(res).first().asDict()
+    separate = A.audit_report(res.raw, res.gold, res.error_log).first().asDict()
+    assert tagged == separate
+    assert tagged["checksum_status"] == "VERIFIED" and tagged["mismatch_delta"] == 0
