@@ -85,14 +85,22 @@ def read_validated(spark: SparkSession, path: str, gold_schema: T.StructType) ->
     return to_orders(read_csv_typed(spark, path, gold_schema))
 
 
-def load_warehouse(orders: DataFrame, path: str) -> None:
+def load_warehouse(orders: DataFrame, path: str, max_records_per_file: int = 5_000_000) -> None:
     """Replace the warehouse table: Parquet partitioned by year/month and
     sorted by order_date inside each file, so a date-range filter prunes
-    directories and skips row groups by min/max statistics."""
+    directories and skips row groups by min/max statistics.
+
+    Rows are range-partitioned on (order_date, order_id): each write task
+    holds a contiguous slice of dates and touches one or two month folders.
+    Hashing on year/month instead would give each month to ONE task; the
+    ``order_id`` tie-breaker splits a hot date across tasks, and
+    ``maxRecordsPerFile`` bounds the file size.
+    """
     (
-        orders.repartition("order_year", "order_month")
-        .sortWithinPartitions("order_date")
+        orders.repartitionByRange("order_date", "order_id")
+        .sortWithinPartitions("order_date", "order_id")
         .write.mode("overwrite")
+        .option("maxRecordsPerFile", max_records_per_file)
         .partitionBy("order_year", "order_month")
         .parquet(path)
     )
