@@ -58,7 +58,7 @@ def nation_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-order cost = sum(quantity * unit list price), exact in DECIMAL."""
-    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    li = spread_scan(read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity"), "l_orderkey")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
     line_cost = F.col("l_quantity").cast("decimal(18,2)") * F.col("p_retailprice").cast("decimal(18,2)")
     return (
@@ -78,9 +78,12 @@ def profit_columns(revenue: Column, cost: Column, status: Column) -> tuple[Colum
 
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order-grain ``orders`` table (the metric layer's input)."""
-    orders = read_table(spark, sf_dir, "orders").select(
+    # Both sides spread on the order key (only when their scans are too few
+    # splits): the cost aggregate and the orders-costs join then reuse that
+    # hash partitioning instead of adding exchanges.
+    orders = spread_scan(read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"
-    )
+    ), "o_orderkey")
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nations = checked_broadcast(nation_dimension(spark, sf_dir), max_rows=10_000)
     costs = order_costs(spark, sf_dir)
