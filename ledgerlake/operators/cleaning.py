@@ -62,12 +62,27 @@ def data_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if not c.startswith("_")]
 
 
+# Typed columns that can be NULL where the raw text is not (a failed parse).
+# Every other standardised column (trim / case / alias mapping / pass-through)
+# is NULL exactly where its missing-token-normalised raw text is.
+PARSED_COLUMNS = ("amount", "discount_rate", "order_date")
+
+
+def present(df: DataFrame, c: str) -> Column:
+    """``c IS NOT NULL`` for a standardised column, read off the raw text
+    where that is equivalent, so a consumer that only needs presence (the
+    duplicate score, the critical-field check) does not run the normaliser."""
+    if c in PARSED_COLUMNS or RAW not in df.columns:
+        return F.col(c).isNotNull()
+    return F.col(f"{RAW}.{c}").isNotNull()
+
+
 def missing_critical(df: DataFrame) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in R.CRITICAL_COLUMNS if c in df.columns])
+    return reduce(lambda a, b: a | b, [~present(df, c) for c in R.CRITICAL_COLUMNS if c in df.columns])
 
 
 def missing_reason(df: DataFrame) -> Column:
-    parts = [F.when(F.col(c).isNull(), F.lit(c.upper())) for c in R.CRITICAL_COLUMNS if c in df.columns]
+    parts = [F.when(~present(df, c), F.lit(c.upper())) for c in R.CRITICAL_COLUMNS if c in df.columns]
     return F.concat(F.lit("UNPARSEABLE_OR_MISSING_"), F.concat_ws("_", *parts))
 
 
@@ -84,7 +99,7 @@ def reject_missing(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def completeness_score(df: DataFrame, cols: list[str] | None = None) -> Column:
     cols = cols or data_columns(df)
-    return reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in cols])
+    return reduce(lambda a, b: a + b, [present(df, c).cast("int") for c in cols])
 
 
 def dedup_winners(df: DataFrame, key: str = "order_id", order_col: str = SOURCE_POS,
