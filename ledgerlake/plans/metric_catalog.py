@@ -270,6 +270,10 @@ def build():
         "SELECT order_id, CAST(date_trunc('week', order_date) AS DATE) AS week_start, "
         "CAST(date_trunc('month', order_date) AS DATE) AS month_start FROM sales"
     )
+    q["week_start"] = lambda s, sf: _sales(s, sf).select("order_id", S.week_start("order_date").alias("week_start"))
+    o["week_start"] = Q.with_sales() + "SELECT order_id, CAST(date_trunc('week', order_date) AS DATE) AS week_start FROM sales"
+    q["month_start"] = lambda s, sf: _sales(s, sf).select("order_id", S.month_start("order_date").alias("month_start"))
+    o["month_start"] = Q.with_sales() + "SELECT order_id, CAST(date_trunc('month', order_date) AS DATE) AS month_start FROM sales"
     q["growth_label"] = lambda s, sf: M.growth_breakdown(_sales(s, sf), _req("revenue_growth_pct"), "country").select(
         "key", S.growth_label("value").alias("label")
     )

@@ -93,6 +93,9 @@ def build():
         "_source_pos", S.canonical_region("region").alias("region_name"), S.region_group(S.canonical_region("region")).alias("region_group"))
     from .sql_text import canonical_region as _cr, region_group as _rg
     o["canonical_region"] = W() + f"SELECT _source_pos, {_cr('region')} AS region_name, {_rg(_cr('region'))} AS region_group FROM std"
+    q["region_group"] = lambda s, sf: std(s, sf).groupBy(
+        S.region_group(S.canonical_region("region")).alias("region_group")).agg(F.count(F.lit(1)).alias("rows"))
+    o["region_group"] = W() + f"SELECT {_rg(_cr('region'))} AS region_group, count(*) AS rows FROM std GROUP BY 1"
     q["parse_filter_date"] = lambda s, sf: std(s, sf).select("_source_pos", S.parse_filter_date(F.col("_raw.order_date")).alias("filter_date"))
     o["parse_filter_date"] = W() + f"SELECT _source_pos, CAST({PS.parse_dates('r_order_date', S.FILTER_DATE_FORMATS)} AS DATE) AS filter_date FROM std"
     q["parse_float"] = lambda s, sf: std(s, sf).select("_source_pos", S.parse_float(F.col("_raw.discount_rate")).alias("discount_value"))
@@ -338,5 +341,20 @@ def build():
         return IO.parity_diff(a, b).select("order_id", "side")
 
     q["source_parity"] = _parity
+
+    def _parity_counts(s, sf):
+        # the order table against its own warehouse round trip, as multisets
+        orders = T.sales(s, sf)
+        path = _scratch(s, "sales_warehouse")
+        IO.load_warehouse(orders, path)
+        back = IO.read_warehouse(s, path).select(*orders.columns)
+        d = IO.parity_diff(orders, back).agg(
+            F.count_if(F.col("side") == "left_only").alias("left_only"),
+            F.count_if(F.col("side") == "right_only").alias("right_only"))
+        return A.count_rows(orders, "left_rows").crossJoin(A.count_rows(back, "right_rows")).crossJoin(d)
+
+    q["parity_diff"] = _parity_counts
+    o["parity_diff"] = with_sales() + (
+        "SELECT count(*) AS left_rows, count(*) AS right_rows, CAST(0 AS BIGINT) AS left_only, CAST(0 AS BIGINT) AS right_only FROM sales")
     o["source_parity"] = "SELECT CAST(NULL AS VARCHAR) AS order_id, CAST(NULL AS VARCHAR) AS side WHERE FALSE"
     return q, o
