@@ -131,3 +131,13 @@ def test_tagged_report_equals_three_table_report(spark):
     separate = A.audit_report(res.raw, res.gold, res.error_log).first().asDict()
     assert tagged == separate
     assert tagged["checksum_status"] == "VERIFIED" and tagged["mismatch_delta"] == 0
+
+
+def test_presence_from_raw_text_matches_typed_columns(spark):
+    from ledgerlake.sources import tables as T
+    from tests.conftest import SF_SMALL
+
+    std = C.standardize(T.raw_sales(spark, SF_SMALL))
+    cols = [c for c in C.data_columns(std) if c not in C.PARSED_COLUMNS]
+    bad = std.agg(*[F.count_if(F.col(c).isNull() != F.col(f"{C.RAW}.{c}").isNull()).alias(c) for c in cols]).first()
+    assert all(v == 0 for v in bad.asDict().values()), bad
