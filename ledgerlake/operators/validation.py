@@ -75,9 +75,18 @@ def validation_summary(validated: DataFrame) -> DataFrame:
     )
 
 
+def round_2dp(x: Column) -> Column:
+    """A double rounded to 2 decimals the way a Python ``round(x, 2)`` does:
+    from the exact binary value, ties to even, back to the nearest double.
+    ``format_number`` (Java DecimalFormat, HALF_EVEN on the exact value) gives
+    those digits; ``round`` / ``bround`` start from the shortest decimal text
+    of the double instead and differ near ties."""
+    return F.regexp_replace(F.format_number(x, 2), ",", "").cast("double")
+
+
 def pct_2dp(part: str, whole: str, empty: Column | None = None) -> Column:
-    """part/whole*100 rounded half-up to 2 decimals, exactly: integer
-    division on BIGINT counts, no floating-point tie ambiguity."""
-    val = F.expr(f"(CAST({part} AS BIGINT) * 20000 + {whole}) div (CAST({whole} AS BIGINT) * 2)") / F.lit(100.0)
-    res = F.when(F.col(whole) > 0, val)
+    """round((part / whole) * 100, 2) in double arithmetic, as the report's
+    percentages are defined; NULL (or ``empty``) when ``whole`` is 0."""
+    ratio = F.expr(f"CAST({part} AS DOUBLE) / CAST({whole} AS DOUBLE)") * F.lit(100.0)
+    res = F.when(F.col(whole) > 0, round_2dp(ratio))
     return res if empty is None else F.coalesce(res, empty)

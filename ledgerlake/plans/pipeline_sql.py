@@ -249,4 +249,5 @@ def error_log_sql() -> str:
 
 
 def pct_2dp(part: str, whole: str) -> str:
-    return f"(CASE WHEN {whole} > 0 THEN CAST((CAST({part} AS BIGINT) * 20000 + {whole}) // (CAST({whole} AS BIGINT) * 2) AS DOUBLE) / 100.0 END)"
+    # printf rounds the exact binary value half-to-even, as Python's round() does
+    return f"(CASE WHEN {whole} > 0 THEN CAST(printf('%.2f', (CAST({part} AS DOUBLE) / CAST({whole} AS DOUBLE)) * 100.0) AS DOUBLE) END)"

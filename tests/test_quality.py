@@ -110,14 +110,15 @@ def test_pipeline_reconciles_and_report(spark):
     assert set(sev) >= {"CRITICAL", "HIGH", "MEDIUM", "LOW", "WARNING", "SUSPICIOUS"} and sev["HIGH"] == 0
 
 
-def test_report_arithmetic_of_stored_sample():
-    # the stored sample report's counts recomputed with the same rounding
-    def pct(part, whole):
-        return ((part * 20000 + whole) // (whole * 2)) / 100.0
-    assert pct(5101 - 1002, 5101) == 80.36
-    assert pct(5101 - 82, 5101) == 98.39
-    assert pct(5101 - 675, 5101) == 86.77
-    assert pct(3342, 5101) == 65.52
+def test_report_percentages_round_like_python(spark):
+    # the stored sample report's counts, plus exact decimal ties (x.xx5),
+    # where rounding from the shortest decimal text would differ
+    pairs = [(5101 - 1002, 5101), (5101 - 82, 5101), (5101 - 675, 5101), (3342, 5101),
+             (3, 60000), (9, 60000), (1, 32), (2675, 100000), (1, 8), (0, 7), (7, 7)]
+    df = spark.createDataFrame(pairs, "part long, whole long")
+    got = [r[0] for r in df.select(V.pct_2dp("part", "whole")).collect()]
+    assert got == [round((p / w) * 100, 2) for p, w in pairs]
+    assert got[:4] == [80.36, 98.39, 86.77, 65.52]
     assert dt.date(2024, 1, 1).weekday() == 0
 
 
