@@ -97,8 +97,7 @@ def load_warehouse(orders: DataFrame, path: str, max_records_per_file: int = 5_0
     ``maxRecordsPerFile`` bounds the file size.
     """
     (
-        orders.repartitionByRange("order_date", "order_id")
-        .sortWithinPartitions("order_date", "order_id")
+        warehouse_layout(orders)
         .write.mode("overwrite")
         .option("maxRecordsPerFile", max_records_per_file)
         .partitionBy("order_year", "order_month")
@@ -106,6 +105,12 @@ def load_warehouse(orders: DataFrame, path: str, max_records_per_file: int = 5_0
     )
 
 
+def warehouse_layout(orders: DataFrame) -> DataFrame:
+    """Rows in write order: contiguous (order_date, order_id) ranges per task,
+    sorted inside each task."""
+    return orders.repartitionByRange("order_date", "order_id").sortWithinPartitions("order_date", "order_id")
+
+
 def read_warehouse(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

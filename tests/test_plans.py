@@ -47,3 +47,11 @@ def test_staged_split_reads_a_plain_predicate(spark):
     # the split filters the staged table, it does not re-run the date parser
     assert "to_timestamp" not in p and "regexp_replace" not in p
     assert rejected.count() + kept.count() == T.raw_sales(spark, SF_SMALL).count()
+
+
+def test_warehouse_write_is_range_partitioned_by_date(spark):
+    from ledgerlake.sources import files as IO
+
+    p = _plan(IO.warehouse_layout(T.sales(spark, SF_SMALL)))
+    assert "rangepartitioning(order_date" in p and "order_id" in p.split("rangepartitioning(")[1].split(")")[0]
+    assert "hashpartitioning(order_year" not in p
