@@ -6,8 +6,9 @@ input. Plan:
 
 1. Routing. Every window is known by its anchor, the smallest hash among its
    ``ANCHOR``-word grams, so equal windows have equal anchors. One narrow row
-   per document and anchor is counted by anchor; anchors of one document only
-   cannot hold a repeat. Documents without a shared anchor are finished here.
+   per document and anchor is compared by anchor; anchors of one text only
+   cannot hold a repeat. Documents without a shared anchor are finished here,
+   and so are exact copies of a text with a smaller id (all their windows go).
 2. Segments. Runs of windows with the same shared anchor are cut out of the
    documents left; equal segments are folded within each batch (smallest and
    largest id). A segment is dealt by its anchor, so all places where a window
@@ -39,6 +40,7 @@ from hashlib import md5, sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -109,21 +111,25 @@ def kept_words(text: bytes, starts: np.ndarray | None, window: int) -> tuple[int
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch], window: int, digest: bool) -> Iterator[pa.RecordBatch]:
-    """Finish the documents without a shared anchor, pass on the text of the others."""
+    """Finish copies and the documents without a shared anchor, pass on the text of the others."""
     for b in batches:
         texts = C.texts_of(b.column(b.schema.get_field_index("text")))
-        anchors = b.column(b.schema.get_field_index("anchors"))
-        open_ = anchors.is_valid().to_numpy(zero_copy_only=False)
-        n, kept, rest = [], [], []
-        for t, o in zip(texts, open_):
+        anchors, copy = b.column(b.schema.get_field_index("anchors")), b.column(b.schema.get_field_index("copy")).to_pylist()
+        open_ = [a and not c for a, c in zip(anchors.is_valid().to_pylist(), copy)]
+        n, gone, kept, rest = [], [], [], []
+        for t, o, c in zip(texts, open_, copy):
             count, _, words = kept_words(t, None, window)
+            whole = c and count >= window
+            words = b"" if whole else words
             n.append(count)
+            gone.append(count if whole else 0)
             kept.append(None if o else sha256(words).hexdigest() if digest else words.decode("utf-8", "replace"))
             rest.append(t if o else None)
         yield pa.RecordBatch.from_arrays(
             [b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("id")), b.column(b.schema.get_field_index("tk")),
-             pa.array(n, pa.int64()), pa.array(kept, pa.string()), pa.array(rest, pa.binary()), anchors],
-            names=["doc_id", "id", "tk", "n_words", "kept", "text", "anchors"],
+             pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(rest, pa.binary()),
+             pc.if_else(pa.array(open_, pa.bool_()), anchors, pa.scalar(None, anchors.type))],
+            names=["doc_id", "id", "tk", "n_words", "n_removed", "kept", "text", "anchors"],
         )
 
 
@@ -332,19 +338,32 @@ def dedup(docs: DataFrame, window: int = WINDOW, hot: int = 4096, shard_words: i
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), C.id_or_last(F.col("doc_id")).alias("id"), F.col("text").cast("string").alias("text")
     )
-    # a short row key: two rows that share one by chance share their lists of anchors, no more
-    rk = F.xxhash64("id", "text").bitwiseAND(F.lit((1 << 40) - 1)).alias("rk")
-    anchors = rows.select(rk, "text").mapInArrow(lambda it: _anchor_rows(it, window), "anchor long, rk long")
+    rows = rows.withColumn("tk", F.xxhash64("text"))
+    # a short key of the text: two texts that share one by chance share their lists of anchors, no more
+    short = F.col("tk").bitwiseAND(F.lit((1 << 40) - 1))
+    anchors = rows.select(short.alias("rk"), "text").mapInArrow(lambda it: _anchor_rows(it, window), "anchor long, rk long")
     # 16-byte rows; a window function spills and streams, it holds no group in memory
+    same = Window.partitionBy("anchor")
     shared = (
-        anchors.withColumn("n", F.count("*").over(Window.partitionBy("anchor"))).where("n > 1")
+        anchors.withColumns({"n": F.count("*").over(same), "least": F.min("rk").over(same), "most": F.max("rk").over(same)})
+        .where("least < most")
         .groupBy("rk").agg(F.collect_set(F.struct("anchor", (F.col("n") > hot).alias("hot"))).alias("anchors"))  # at most a text's words
     )
-    joined = rows.withColumn("rk", rk).join(shared, "rk", "left").select("doc_id", "id", F.xxhash64("text").alias("tk"), "text", "anchors")
+    # texts that several rows have, by hash and digest, with the smallest id
+    firsts = (
+        rows.where("text is not null").select("tk", F.struct("id", F.md5("text").alias("digest")).alias("row"))
+        .groupBy("tk").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
+        .groupBy(short.alias("rk")).agg(F.collect_list("first").alias("firsts"))  # one, but for chance
+    )
+    known = C.stage(shared.join(firsts, "rk", "full"), "substring-known")
+    is_copy = F.exists("firsts", lambda f: (f["digest"] == F.md5("text")) & (f["id"] < F.col("id")))
+    joined = rows.withColumn("rk", short).join(known, "rk", "left").select(
+        "doc_id", "id", "tk", "text", "anchors", F.coalesce(is_copy, F.lit(False)).alias("copy")
+    )
     first = C.stage(
         joined.mapInArrow(
             lambda it: _first_pass(it, window, digest),
-            "doc_id long, id long, tk long, n_words long, kept string, text binary, anchors array<struct<anchor:long,hot:boolean>>",
+            "doc_id long, id long, tk long, n_words long, n_removed long, kept string, text binary, anchors array<struct<anchor:long,hot:boolean>>",
         ),
         "substring-first",
     )
@@ -366,7 +385,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, hot: int = 4096, shard_words: i
         open_.select("doc_id", "id", "tk", "text").join(removed, ["id", "tk"], "left").select("doc_id", "text", "starts")
         .mapInArrow(lambda it: _last_pass(it, window, digest), "doc_id long, n_words long, n_removed long, kept string")
     )
-    done = first.where("text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept")
+    done = first.where("text is null").select("doc_id", "n_words", "n_removed", "kept")
     return done.unionByName(last)
 
 
