@@ -33,7 +33,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = C.table(spark, sf_dir, "documents")
+    docs, before = C.table(spark, sf_dir, "documents"), C.staged()
     for i, (_, stage) in enumerate(STAGES):
         docs = C.stage(stage(spark, docs, sf_dir), f"pipeline-{i + 1}")
+        C.drop_staged(spark, [p for p in C.staged()[:-1] if p not in before])  # all but this stage's table
     return docs

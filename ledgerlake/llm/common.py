@@ -24,6 +24,7 @@ ARROW_BATCH = {
 }
 #: One word: a run of anything but ASCII blanks and control spaces.
 WORD = r"[^\x20\x09-\x0D]+"
+_STAGED: list[str] = []
 #: Stands for a null id wherever ids are compared: it is larger than all others.
 NO_ID = (1 << 63) - 1
 
@@ -75,10 +76,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged() -> list[str]:
+    """The paths that ``stage`` has written in this process and nobody has dropped."""
+    return list(_STAGED)
+
+
+def drop_staged(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables that no result still reads."""
+    for p in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _STAGED.remove(p)
+
+
 def id_or_last(col: Column) -> Column:
     return F.coalesce(col.cast("long"), F.lit(NO_ID))
 

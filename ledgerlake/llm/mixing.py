@@ -224,12 +224,12 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     C.prepare(spark)
     out, _, _ = mix(C.stage(sized(docs), "mix-sizes"))
     uses = C.stage(
-        out.where("taken > 0").select(F.col("doc_id").alias("_id"), "text_key", F.col("sources")[0].alias("_source"), F.expr("taken div size").cast("int").alias("_uses")).distinct(),
+        out.where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key"), F.col("sources")[0].alias("_source"), F.expr("taken div size").cast("int").alias("_uses")).distinct(),
         "mix-uses",
     )
     keyed = docs.withColumn("_key", F.xxhash64("text"))
     return (
-        keyed.join(uses, F.col("doc_id").cast("long").eqNullSafe(uses._id) & (keyed._key == uses.text_key) & F.col("source").eqNullSafe(uses._source))
+        keyed.join(uses, F.col("doc_id").cast("long").eqNullSafe(uses._id) & keyed._key.eqNullSafe(uses._text_key) & F.col("source").eqNullSafe(uses._source))
         .withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_uses"))))
         .select(docs.columns)
     )

@@ -83,10 +83,10 @@ CONTEXT = {
 }
 
 
-def find_pii(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``findings``: (start, order, end, kind, match, score) by start, then kind."""
+def find_pii(docs: DataFrame, out: str = "findings") -> DataFrame:
+    """``docs`` with a column ``out``: array of (start, order, end, kind, match, score) by start, then kind."""
     kinds = BASE + ADDED
-    kept = [c for c in docs.columns if c != "findings"]
+    kept = [c for c in docs.columns if c != out]
     text = F.coalesce("text", F.lit(""))
     cols = {k.name: f"_pii_{k.name}" for k in kinds}
     found = docs.select(*kept, text.alias("_pii_text"), *[S.find(text, k).alias(cols[k.name]) for k in kinds])
@@ -105,7 +105,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
     listed = found.select(*kept, "_pii_text", spans.alias("_pii_spans"))
     keep = lambda s: (s["order"] < len(BASE)) | (s["score"] >= THRESHOLD)
-    return listed.select(*kept, F.filter(F.transform("_pii_spans", scored), keep).alias("findings"))
+    return listed.select(*kept, F.filter(F.transform("_pii_spans", scored), keep).alias(out))
 
 
 def redact(text: Column, findings: Column) -> Column:
@@ -138,7 +138,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: personal data in the texts replaced by tags, n_chars to match."""
-    found = find_pii(docs)
-    done = found.withColumn("_clean", F.when(F.col("text").isNotNull(), redact(F.col("text"), F.col("findings"))))
+    found = find_pii(docs, "_pii_findings")
+    done = found.withColumn("_clean", F.when(F.col("text").isNotNull(), redact(F.col("text"), F.col("_pii_findings"))))
     out = {"text": F.col("_clean"), "n_chars": F.length("_clean").cast("long")}
     return done.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])

@@ -16,8 +16,8 @@ with the tasks. Scoring is one pass over the documents without a shuffle.
 Null and empty texts have a difference of zero and get the curve's value there.
 With too few labels of a class no model can be fitted; every text then scores
 0.5. Rows of ``labels`` with a null id or quality are not used. Extra columns
-of the documents are passed through; columns of the operator's own output names
-must not exist in its input (the query selects its two columns first).
+of the documents are passed through; the names of the two columns that ``score``
+adds are parameters, so that they need not clash with others.
 """
 
 from __future__ import annotations
@@ -129,7 +129,7 @@ def fit(sample: list[tuple[int, bytes, bool]], p: Params = Params()) -> Model:
         blocks = [t[i : i + p.block] for q, t, cal in sample if q == quality and not cal for i in range(0, len(t), p.block)]
         try:
             dicts.append(zstandard.train_dictionary(p.dict_bytes, blocks).as_bytes())
-        except zstandard.ZstdError:  # too little text to train on
+        except (zstandard.ZstdError, ValueError):  # too little text to train on
             raw = b"".join(blocks)[-p.dict_bytes :]
             if len(raw) < 8:
                 return model
@@ -161,9 +161,9 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0] / scale), float(w[1])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``difference``, ``score`` and ``predicted`` of column ``text``."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``docs`` with two more columns: the score of column ``text`` and whether it is at least 0.5."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
     at = docs.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +171,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = [model.score(t) for t in C.texts_of(b.column(at))]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(s, pa.float64()), pa.array([int(v >= 0.5) for v in s], pa.int32())],
-                names=[*b.schema.names, "score", "predicted"],
+                names=[*b.schema.names, *names],
             )
 
     return docs.mapInArrow(rows, schema)
@@ -190,4 +190,4 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: drop the documents that the classifier rejects."""
     model = train(docs, C.table(spark, sf_dir, "labels"))
-    return score(docs, model).where("predicted = 1").select(docs.columns)
+    return score(docs, model, ("_quality_score", "_quality_predicted")).where("_quality_predicted = 1").select(docs.columns)

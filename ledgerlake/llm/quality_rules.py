@@ -159,7 +159,7 @@ def judge(measured: DataFrame, min_words: int = 50, repeat_percent: int = 50, wi
     whole = sound.agg(*quantiles)
     limits = whole.select(*band(whole, "")).first().asDict()  # one row of six numbers
     joined = rows.join(own, rows.lang == own._lang, "left")
-    inside, more = F.lit(True), noise / F.sqrt("n_words")
+    inside, more = F.lit(True), noise / F.sqrt(F.greatest("n_words", F.lit(1)))
     for m in MEASURES:
         low, high = limits[f"{m}_low"], limits[f"{m}_high"]
         inside = inside & (F.col(m) >= F.coalesce(f"_own_{m}_low", F.lit(low)) - more) & (F.col(m) <= F.coalesce(f"_own_{m}_high", F.lit(high)) + more)
