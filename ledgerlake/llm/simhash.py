@@ -188,12 +188,17 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Pipeline stage: of each class the document with the smallest id stays (of repeated rows, one)."""
     found = near_duplicates(docs)
     first = C.stage(
-        found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct(), "simhash-kept"
+        found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")), "simhash-kept"
     )
-    kept = docs.join(first, docs.doc_id.eqNullSafe(first.doc_id), "left_semi")
-    # several rows may carry the kept id (repeated rows): one of them stays
+
+    def rows_of(ids: DataFrame) -> DataFrame:
+        # one way at every size: the texts are shuffled once, by id, and no side is broadcast
+        return docs.join(ids.hint("merge"), docs.doc_id.eqNullSafe(ids.doc_id), "left_semi")
+
+    single, several = rows_of(first.where("n = 1")), C.stage(first.where("n > 1"), "simhash-repeated")
     others = [c for c in docs.columns if c != "doc_id"]
-    return (
-        kept.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")).select(*[F.col("row")[c].alias(c) if c != "doc_id" else F.col("doc_id") for c in docs.columns])
-        if others else kept.distinct()
-    )
+    if not others or several.isEmpty():
+        return single if others else single.unionByName(several.select("doc_id"))
+    # an id on several rows (repeated rows): the smallest row stays
+    row = rows_of(several).groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row"))
+    return single.unionByName(row.select("doc_id", *[F.col("row")[c].alias(c) for c in others]).select(docs.columns))
