@@ -16,8 +16,8 @@ a cell numpy compares blocks of ``tile`` rows, and passes on one link per row
 to its class in the cell instead of all pairs.
 
 The components come from alternating large-star and small-star steps on staged
-tables; nothing is collected. Null ids count as the largest id, and a null id's
-class id is null only if the class has no other id. Null and empty texts have
+tables; nothing is collected. Null ids count as the largest id: a class's id
+is null only if no row of it has an id, and such classes stay apart. Null and empty texts have
 fingerprint zero. Repeated rows share a class. Extra columns are dropped by
 ``fingerprints``.
 """
@@ -59,16 +59,16 @@ def simhash(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and ``fp``, the fingerprint as a signed long, of each document."""
+    """doc_id, ``tk`` (a hash of the text) and ``fp``, the fingerprint as a signed long, of each document."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([simhash(t, shingle) for t in C.texts_of(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            fp = np.array([simhash(t, shingle) for t in C.texts_of(b.column(2))], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["doc_id", "tk", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        rows, "doc_id long, fp long"
-    )
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), F.col("text").cast("string").alias("text")
+    ).mapInArrow(rows, "doc_id long, tk long, fp long")
 
 
 def _links_in_cell(a: np.ndarray, ida: np.ndarray, b: np.ndarray, idb: np.ndarray, radius: int, tile: int, parent: dict) -> None:
@@ -165,17 +165,18 @@ def links(distinct: DataFrame, radius: int = 2, tile: int = 1024) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """doc_id, fp and component_id (the smallest id of its class) of each row."""
+    """doc_id, tk, fp, class (one of its fingerprints) and component_id (the smallest id of the class) of each row."""
     fps = C.stage(fingerprints(docs, shingle), "simhash")
-    distinct = C.stage(fps.groupBy("fp").agg(F.min(C.id_or_last(F.col("doc_id"))).alias("rep")), "simhash-distinct")
-    comps = connected_components(links(distinct, radius))
+    distinct = C.stage(fps.groupBy("fp").agg(F.min(C.id_or_last(F.col("doc_id"))).alias("least")), "simhash-distinct")
+    comps = C.stage(connected_components(links(distinct.select("fp", F.col("fp").alias("rep")), radius)), "simhash-components")
+    member = distinct.join(comps, distinct.fp == comps.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
+    ids = comps.join(distinct, comps.node == distinct.fp).groupBy(F.col("component").alias("_class")).agg(F.min("least").alias("_least"))
     named = C.stage(
-        distinct.join(comps, distinct.rep == comps.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id")),
+        member.join(ids, F.col("class") == F.col("_class"), "left").select("fp", "class", F.coalesce("_least", "least").alias("component_id")),
         "simhash-classes",
     )
-    none = F.lit(C.NO_ID)
     return fps.join(named, "fp", "left").select(
-        "doc_id", "fp", F.when(F.col("component_id") != none, F.col("component_id")).alias("component_id")
+        "doc_id", "tk", "fp", "class", F.when(F.col("component_id") != C.NO_ID, F.col("component_id")).alias("component_id")
     )
 
 
@@ -186,19 +187,22 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each class the document with the smallest id stays (of repeated rows, one)."""
+    C.prepare(spark)
     found = near_duplicates(docs)
     first = C.stage(
-        found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")), "simhash-kept"
+        found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("class", "tk", "doc_id").agg(F.count("*").alias("n"))
+        .groupBy("class").agg(F.min(F.struct("tk", "doc_id", "n")).alias("kept")).select("kept.*"),
+        "simhash-kept",
     )
 
     def rows_of(ids: DataFrame) -> DataFrame:
         # one way at every size: the texts are shuffled once, by id, and no side is broadcast
-        return docs.join(ids.hint("merge"), docs.doc_id.eqNullSafe(ids.doc_id), "left_semi")
+        same = docs.doc_id.cast("long").eqNullSafe(ids.doc_id) & (F.xxhash64(docs.text) == ids.tk)
+        return docs.join(ids.hint("merge"), same, "left_semi")
 
     single, several = rows_of(first.where("n = 1")), C.stage(first.where("n > 1"), "simhash-repeated")
-    others = [c for c in docs.columns if c != "doc_id"]
-    if not others or several.isEmpty():
-        return single if others else single.unionByName(several.select("doc_id"))
-    # an id on several rows (repeated rows): the smallest row stays
-    row = rows_of(several).groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row"))
-    return single.unionByName(row.select("doc_id", *[F.col("row")[c].alias(c) for c in others]).select(docs.columns))
+    if several.isEmpty():
+        return single
+    # a kept document on several rows: its smallest row stays
+    row = rows_of(several).groupBy("doc_id", F.xxhash64("text")).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return single.unionByName(row.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
