@@ -109,7 +109,7 @@ def _box_sql(grain):
         "SELECT CAST(n AS BIGINT) AS count, q1, median, q3, iqr, "
         "list_min(list_filter(xs, lambda x: x >= lo AND x <= hi)) AS whisker_low, "
         "list_max(list_filter(xs, lambda x: x >= lo AND x <= hi)) AS whisker_high, "
-        f"list_filter(xs, lambda x: x < lo OR x > hi)[1:{R.BOX_MAX_OUTLIERS}] AS outliers FROM ("
+        f"list_filter(xs, lambda x: x < lo OR x > hi) AS outliers FROM ("
         "SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM ("
         f"SELECT xs, n, {qa(0.25)} AS q1, {qa(0.5)} AS median, {qa(0.75)} AS q3 FROM ("
         f"SELECT list_sort(list(value)) AS xs, count(value) AS n FROM ({series}) WHERE value IS NOT NULL AND NOT isnan(value)"
@@ -172,8 +172,8 @@ def build():
     o["period_outer_join"] = Q.with_sales() + _period_totals_sql("country")
 
     # A9 box statistics of the margin series; T4 the capped outlier list
-    q["margin_box"] = lambda s, sf: M.margin_box(_sales(s, sf), _req("profit_margin_pct", time_grain="week")).drop("outliers")
-    o["margin_box"] = f"SELECT * EXCLUDE (outliers) FROM ({_box_sql('week')})"
+    q["margin_box"] = lambda s, sf: M.margin_box(_sales(s, sf), _req("profit_margin_pct", time_grain="week"))
+    o["margin_box"] = _box_sql("week")
     q["cap_outliers"] = lambda s, sf: (
         M.margin_box(_sales(s, sf), _req("profit_margin_pct", time_grain="day"))
         .select(F.posexplode("outliers").alias("pos", "outlier"))

@@ -71,6 +71,8 @@ def ensure_checkpoint_dir(spark: SparkSession, local_default: str | None = None)
     if current:
         spark.sparkContext.setCheckpointDir(current)
         return current
+    if local_default is None and not spark.sparkContext.master.startswith(("local[", "local*")) and spark.sparkContext.master != "local":
+        raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that all executors share")
     path = local_default or tempfile.mkdtemp(prefix="ledgerlake-ckpt-")
     spark.conf.set(CHECKPOINT_KEY, path)
     spark.sparkContext.setCheckpointDir(path)

@@ -27,23 +27,9 @@ TABLES = (
 )
 
 
-# Table handles and size-checked dimensions per (application, folder). The
-# driver tables are read-only, so one handle per session is enough: later
-# queries skip the file listing and footer read, and the broadcast size
-# check of a dimension runs once.
-_HANDLES: dict[tuple, DataFrame] = {}
-
-
-def _session_key(spark: SparkSession, *parts: str) -> tuple:
-    return (spark.sparkContext.applicationId, *parts)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = os.path.abspath(os.path.join(sf_dir, f"{name}.parquet"))
-    key = _session_key(spark, "table", path)
-    if key not in _HANDLES:
-        _HANDLES[key] = spark.read.parquet(path)
-    return _HANDLES[key]
+    """A fresh handle each time, so that files added to the folder are seen."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 # Fixture-only recode of the TPC-H region names onto the domain's region codes.
@@ -72,11 +58,8 @@ def nation_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def checked_nation_dimension(spark: SparkSession, sf_dir: str, max_rows: int = 10_000) -> DataFrame:
-    """The nation dimension, broadcast behind a row-count check done once per session."""
-    key = _session_key(spark, "nation_dimension", os.path.abspath(sf_dir), str(max_rows))
-    if key not in _HANDLES:
-        _HANDLES[key] = checked_broadcast(nation_dimension(spark, sf_dir), max_rows=max_rows)
-    return _HANDLES[key]
+    """The nation dimension, broadcast behind a row-count check."""
+    return checked_broadcast(nation_dimension(spark, sf_dir), max_rows=max_rows)
 
 
 def order_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
