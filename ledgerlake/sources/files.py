@@ -14,8 +14,7 @@ from .partitioning import spread_scan
 
 # Keep the text exactly as given: no trimming on read or write, quotes doubled
 # inside quoted fields. Fields with line breaks need ``multiLine`` (a file is then
-# read by one task), so that stays the caller's choice. Names are checked per file
-# and surplus fields raise.
+# read by one task), so that is left to the caller's own reader.
 _CSV_TEXT = {
     "header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "quote": '"', "escape": '"',
 }
@@ -31,7 +30,8 @@ def read_raw_sales(spark: SparkSession, path: str | list[str]) -> DataFrame:
     paths = [path] if isinstance(path, str) else list(path)
     header = spark.read.options(**_CSV_TEXT).csv(paths[0]).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    df = spark.read.options(**_CSV_TEXT).schema(schema).csv(paths)
+    # every file's header must name these columns in this order, else the read fails
+    df = spark.read.options(**_CSV_TEXT, enforceSchema="false").schema(schema).csv(paths)
     df = df.select(*[F.col(c) if c == SOURCE_POS else S.na_to_null(F.col(c)).alias(c) for c in header])
     if SOURCE_POS not in header:
         pos = F.concat_ws(":", F.input_file_name(), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
