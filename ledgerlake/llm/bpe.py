@@ -406,20 +406,21 @@ def tokenizer(path: str) -> Bpe:
     return Bpe(path)
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ``ids`` (array of the text's token ids) and ``decoded`` (text of those ids)."""
+def encode(docs: DataFrame, path: str | None = None, decoded: bool = True) -> DataFrame:
+    """doc_id, ``ids`` (array of the text's token ids) and, if asked for, ``decoded`` (text of those ids)."""
     path = path or default_path()
+    names = ["doc_id", "ids", "decoded"][: 2 + decoded]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for b in batches:
             for lo, ids in _encoded(bpe, b.column(1)):
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, len(ids)), pa.array([np.frombuffer(i, "<i4") for i in ids], pa.list_(pa.int32())), pa.array([bpe.decode(i).decode() for i in ids])],
-                    names=["doc_id", "ids", "decoded"],
-                )
+                columns = [b.column(0).slice(lo, len(ids)), pa.array([np.frombuffer(i, "<i4") for i in ids], pa.list_(pa.int32()))]
+                if decoded:
+                    columns.append(pa.array([bpe.decode(i).decode() for i in ids]))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return _two(docs).mapInArrow(rows, "doc_id long, ids array<int>, decoded string")
+    return _two(docs).mapInArrow(rows, "doc_id long, ids array<int>" + ", decoded string" * decoded)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -461,4 +462,4 @@ def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: doc_id and token ids of every row."""
     C.prepare(spark)
-    return encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return encode(docs, decoded=False).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
