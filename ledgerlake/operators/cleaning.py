@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import reference_data as R
 from ..functions import scalars as S
+from ..session import materialize
 
 SOURCE_POS = "_source_pos"
 RAW = "_raw"
@@ -123,21 +124,29 @@ def dedup_winners(df: DataFrame, key: str = "order_id", order_col: str = SOURCE_
 
 def mark_duplicates(df: DataFrame, key: str = "order_id", order_col: str = SOURCE_POS,
                     score_cols: list[str] | None = None) -> DataFrame:
-    """Adds ``_dup_count`` (rows sharing the key) and ``_keep`` (this row is
-    the one kept: most non-null fields, then the earliest position).
+    """Adds ``_keep``: this row is the one kept of its key (most non-null
+    fields, then the earliest position). Rows without a key are all kept."""
+    return join_winners(df, dedup_winners(df, key, order_col, score_cols), order_col).withColumn(
+        "_keep", F.col("_keep_pos").isNotNull() | F.col(key).isNull()
+    ).drop("_keep_pos")
+
+
+def join_winners(df: DataFrame, winners: DataFrame, order_col: str = SOURCE_POS) -> DataFrame:
+    """Rows with ``_keep_pos`` set where the row is its key's winner.
 
-    The join back is on the key; AQE's skew-join handling splits a hot key's
-    partition across tasks and replicates the one matching winner row.
+    The join is on the position, which is unique: a key that holds a third of
+    all rows meets its winner on one row, and rows without a key are spread.
     """
-    w = dedup_winners(df, key, order_col, score_cols)
-    return df.join(w, key, "left").withColumn(
-        "_keep", F.coalesce(F.col(order_col) == F.col("_keep_pos"), F.lit(True))
-    ).drop("_keep_pos")
+    return df.join(winners.select("_keep_pos"), F.col(order_col) == F.col("_keep_pos"), "left")
 
 
 def detect_duplicates(df: DataFrame, key: str = "order_id") -> DataFrame:
-    """Every member of a duplicated key, flagged."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("dup_count"))
+    """Every member of a duplicated key, flagged.
+
+    The counts are staged first: a join side that is an aggregate on its own
+    exchange is one that AQE does not split, a plain scan of it is.
+    """
+    counts = materialize(df.groupBy(key).agg(F.count(F.lit(1)).alias("dup_count")), "dup-counts")
     return df.join(counts, key, "left").withColumn("is_duplicate", F.col("dup_count") > 1)
 
 

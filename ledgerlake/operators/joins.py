@@ -36,10 +36,11 @@ def period_outer_join(cur: DataFrame, prev: DataFrame, key: str, value: str = "v
 
 
 def in_list_semi(df: DataFrame, col: str, values: list, max_inline: int = 1000) -> DataFrame:
-    """``col IN (values)``: inline for short lists, broadcast semi join beyond."""
+    """``col IN (values)``: inline for short lists, a semi join beyond, whose
+    strategy Spark picks from the size of the list. The columns stay the same."""
     if not values:
         return df
     if len(values) <= max_inline:
         return df.filter(F.col(col).isin(list(values)))
     keys = df.sparkSession.createDataFrame([(v,) for v in values], [col])
-    return df.join(F.broadcast(keys.distinct()), col, "left_semi")
+    return df.join(keys, col, "left_semi").select(*df.columns)

@@ -235,6 +235,11 @@ def build():
         f"SELECT {SALES_COLS} FROM sales WHERE order_date BETWEEN DATE '{START}' AND DATE '{END}' AND region = '{REGIONS[1]}' "
         f"ORDER BY order_date, order_id LIMIT {R.PAGE_SIZE} OFFSET {2 * R.PAGE_SIZE}"
     )
+    q["orders_page_after"] = lambda s, sf: M.orders_page_after(M.orders_listing(_sales(s, sf), START, END), START, "5")
+    o["orders_page_after"] = Q.with_sales() + (
+        f"SELECT {SALES_COLS} FROM sales WHERE order_date BETWEEN DATE '{START}' AND DATE '{END}' "
+        f"AND (order_date > DATE '{START}' OR order_id > '5') ORDER BY order_date, order_id LIMIT {R.PAGE_SIZE}"
+    )
     q["orders_row_count"] = lambda s, sf: M.row_count(M.orders_listing(_sales(s, sf), START, END))
     o["orders_row_count"] = Q.with_sales() + f"SELECT count(*) AS row_count FROM sales WHERE order_date BETWEEN DATE '{START}' AND DATE '{END}'"
     q["top_transactions"] = lambda s, sf: M.top_transactions(M.filter_date_range(_sales(s, sf), START, END), "profit_total_usd")

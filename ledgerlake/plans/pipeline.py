@@ -4,12 +4,13 @@ Single pass: every raw row is tagged with its outcome (kept, rejected at the
 clean stage, dropped as a duplicate, rejected by validation) in one
 ``audited`` DataFrame. Gold, the error log and every audit count are
 filters / aggregates of it. The only wide operations are the duplicate
-aggregate + join on ``order_id`` and the exact quartile passes.
+aggregate on ``order_id``, the join of its winners on the row position and the
+exact quartile passes.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from ..operators import audit as A
 from ..operators import cleaning as C
 from ..operators import enrichment as E
 from ..operators import validation as V
-from ..session import materialize
+from ..session import drop_tables, materialize
 
 DATA_COLUMNS = (
     "order_id", "order_date", "amount", "discount_rate", "currency", "region", "country",
@@ -36,6 +37,12 @@ class PipelineResult:
     audited: DataFrame
     gold: DataFrame
     error_log: DataFrame
+    tables: list[str] = field(default_factory=list)
+
+    def close(self) -> None:
+        """Delete the staged table behind the results, once they are written."""
+        drop_tables(self.raw.sparkSession, self.tables)
+        self.tables = []
 
 
 def _stage(miss: Column) -> Column:
@@ -46,23 +53,22 @@ def _stage(miss: Column) -> Column:
     )
 
 
-def audited_rows(raw: DataFrame, checkpoint: bool = False, with_anomaly: bool = True) -> DataFrame:
+def audited_rows(raw: DataFrame, checkpoint: bool = False, with_anomaly: bool = True, written: list[str] | None = None) -> DataFrame:
     std = C.standardize(raw)
     if checkpoint:
-        std = materialize(std, "standardized")
+        std = materialize(std, "standardized", written)
     data = C.data_columns(std)
     miss = C.missing_critical(std)
     winners = C.dedup_winners(std, score_cols=data, eligible=~miss)
     marked = (
-        std.withColumn("_missing", miss)
-        .join(winners, "order_id", "left")
-        .withColumn("_keep", F.col("_missing") | F.coalesce(F.col(C.SOURCE_POS) == F.col("_keep_pos"), F.lit(True)))
-        .drop("_keep_pos", "_dup_count")
+        C.join_winners(std.withColumn("_missing", miss), winners)
+        .withColumn("_keep", F.col("_missing") | F.col("_keep_pos").isNotNull())
+        .drop("_keep_pos")
     )
     enriched = C.add_customer_fields(marked)
     enriched = E.convert_currency(enriched)
     if checkpoint:
-        enriched = materialize(enriched, "enriched")
+        enriched = materialize(enriched, "enriched", written)
     survivors = enriched.filter(~F.col("_missing") & F.col("_keep"))
     out = E.margin_flags(E.date_parts(E.profit_margin_columns(E.attach_cost(enriched))))
     if with_anomaly:
@@ -108,10 +114,12 @@ def error_log_from(audited: DataFrame) -> DataFrame:
 
 
 def run(raw: DataFrame, checkpoint: bool = False, with_anomaly: bool = True) -> PipelineResult:
-    audited = audited_rows(raw, checkpoint, with_anomaly)
+    earlier, tables = [], []
+    audited = audited_rows(raw, checkpoint, with_anomaly, earlier)
     if checkpoint:
-        audited = materialize(audited, "audited")
-    return PipelineResult(raw, audited, gold_from(audited), error_log_from(audited))
+        audited = materialize(audited, "audited", tables)
+        drop_tables(raw.sparkSession, earlier)  # only the audited table is still read
+    return PipelineResult(raw, audited, gold_from(audited), error_log_from(audited), tables)
 
 
 def report(res: PipelineResult) -> DataFrame:

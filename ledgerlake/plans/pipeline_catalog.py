@@ -65,18 +65,14 @@ SURV = "(stage IS NULL OR stage = 'VALIDATE')"
 RAW_SNAKE = ", ".join(f'"{h}" AS {n}' for h, n in PS.RAW_NAMES.items())
 
 
-def _gold_no_anomaly():
-    return [c for c in GOLD if c != "is_anomaly"]
-
-
 def build():
     q, o = {}, {}
 
     # ---- standardisation: P1-P6, P19, P20, F7, P23
     q["snake_case_columns"] = lambda s, sf: C.snake_case_columns(_raw(s, sf))
     o["snake_case_columns"] = W() + f"SELECT _source_pos, {RAW_SNAKE} FROM raw_sales"
-    q["na_tokens_to_null"] = lambda s, sf: C.na_tokens_to_null(_raw(s, sf)).select("_source_pos", "OrderID", "Amount", "Currency")
-    o["na_tokens_to_null"] = W() + f'SELECT _source_pos, {PS.na(chr(34) + "OrderID" + chr(34))} AS "OrderID", {PS.na(chr(34) + "Amount" + chr(34))} AS "Amount", {PS.na(chr(34) + "Currency" + chr(34))} AS "Currency" FROM raw_sales'
+    q["na_tokens_to_null"] = lambda s, sf: C.na_tokens_to_null(_raw(s, sf))
+    o["na_tokens_to_null"] = W() + "SELECT _source_pos, " + ", ".join(f'{PS.na(chr(34) + h + chr(34))} AS "{h}"' for h in T.RAW_HEADERS) + " FROM raw_sales"
 
     std = lambda s, sf: C.standardize(_raw(s, sf))
     q["clean_numeric"] = lambda s, sf: std(s, sf).select("_source_pos", F.col("_raw.amount").alias("amount_text"), "amount", "discount_rate")
@@ -177,8 +173,8 @@ def build():
     # ---- outputs: Q6 gold, Q8 consolidated error log, U1, Q16
     q["sales_pipeline"] = lambda s, sf: _res(s, sf, anomaly=True).gold
     o["sales_pipeline"] = W(PS.gold_sql()) + "SELECT * FROM gold"
-    q["error_log"] = lambda s, sf: _res(s, sf).error_log.drop("is_anomaly")
-    o["error_log"] = W(PS.error_log_sql()) + "SELECT * EXCLUDE (is_anomaly) FROM error_log"
+    q["error_log"] = lambda s, sf: _res(s, sf, anomaly=True).error_log
+    o["error_log"] = W(PS.error_log_sql()) + "SELECT * FROM error_log"
 
     def _consolidated(s, sf):
         st = PL.stage_outputs(_raw_staging(s, sf), with_anomaly=False)
@@ -229,8 +225,8 @@ def build():
         f"{PS.pct_2dp('valid_rows_gold', 'raw_total_rows')} AS overall_quality_score "
         f"FROM (SELECT {counts}) c, (SELECT {dims_sql} FROM error_log, (SELECT count(*) AS raw_total_rows FROM raw_sales) r GROUP BY raw_total_rows) d"
     )
-    gcols = _gold_no_anomaly()
-    q["gold_audit"] = lambda s, sf: (lambda r: A.gold_audit(r.gold.drop("is_anomaly"), r.error_log))(_res(s, sf))
+    gcols = GOLD
+    q["gold_audit"] = lambda s, sf: (lambda r: A.gold_audit(r.gold, r.error_log))(_res(s, sf, anomaly=True))
     checks = [f"SELECT 'nulls:{c}' AS \"check\", CAST(count_if({c} IS NULL) AS BIGINT) AS failures FROM gold" for c in gcols] + [
         "SELECT 'duplicate_order_ids', CAST(count(*) - count(DISTINCT order_id) AS BIGINT) FROM gold",
         "SELECT 'profit_calculation', CAST(count_if(coalesce(abs(profit_usd - (amount_usd - cost_usd)) > 0.01, false)) AS BIGINT) FROM gold",
@@ -261,13 +257,13 @@ def build():
     o["write_gold"] = W(PS.gold_sql()) + "SELECT * FROM gold"
 
     def _err_csv(s, sf):
-        err = _res(s, sf).error_log.drop("is_anomaly")
+        err = _res(s, sf, anomaly=True).error_log
         path = _scratch(s, "error_log_csv")
         IO.write_error_log(err, path)
         return IO.read_csv_typed(s, path, err.schema)
 
     q["write_error_log"] = _err_csv
-    o["write_error_log"] = W(PS.error_log_sql()) + "SELECT * EXCLUDE (is_anomaly) FROM error_log"
+    o["write_error_log"] = W(PS.error_log_sql()) + "SELECT * FROM error_log"
 
     orders_sql = (
         "SELECT order_id, CAST(order_date AS DATE) AS order_date, upper(order_status) AS order_status, customer AS customer_id, "
@@ -284,8 +280,8 @@ def build():
 
     q["read_validated"] = _validated
     o["read_validated"] = W(PS.gold_sql()) + orders_sql
-    q["rename_to_semantic"] = lambda s, sf: IO.to_orders(_res(s, sf).gold.drop("is_anomaly"))
-    o["rename_to_semantic"] = W(PS.gold_sql()) + f"SELECT * EXCLUDE (is_anomaly) FROM ({orders_sql})"
+    q["rename_to_semantic"] = lambda s, sf: IO.to_orders(_res(s, sf, anomaly=True).gold)
+    o["rename_to_semantic"] = W(PS.gold_sql()) + f"SELECT * FROM ({orders_sql})"
 
     def _warehouse(s, sf):
         path = _scratch(s, "warehouse")
@@ -306,7 +302,7 @@ def build():
     )
 
     def _report_json(s, sf):
-        r = _res(s, sf)
+        r = _res(s, sf, anomaly=True)
         rep = A.nested_report(PL.report(r), A.reason_counts(r.error_log), A.severity_counts(r.error_log))
         path = _scratch(s, "report_json")
         IO.write_report_json(rep, path)

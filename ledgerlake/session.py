@@ -86,13 +86,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, written: list[str] | None = None) -> DataFrame:
     """Cut lineage by writing ``df`` as Parquet under the shared checkpoint folder.
 
     A lost executor then recomputes from this table, not from the raw input,
     and two consumers of one stage read it once each instead of recomputing.
+    The path is added to ``written``, so that the caller can drop the table.
     """
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
+    if written is not None:
+        written.append(path)
     return spark.read.parquet(path)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables that no result reads any more."""
+    for p in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

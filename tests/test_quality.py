@@ -6,6 +6,8 @@ from ledgerlake.operators import cleaning as C
 from ledgerlake.operators import enrichment as E
 from ledgerlake.operators import validation as V
 from ledgerlake.plans import pipeline as PL
+from ledgerlake.sources import tables as T
+from tests.conftest import SF_SMALL
 
 HEAD = ["_source_pos", "OrderID", "OrderDate", "Amount", "Currency", "Region", "OrderStatus", "Customer", "Product"]
 
@@ -142,3 +144,24 @@ def test_presence_from_raw_text_matches_typed_columns(spark):
     cols = [c for c in C.data_columns(std) if c not in C.PARSED_COLUMNS]
     bad = std.agg(*[F.count_if(F.col(c).isNull() != F.col(f"{C.RAW}.{c}").isNull()).alias(c) for c in cols]).first()
     assert all(v == 0 for v in bad.asDict().values()), bad
+
+
+def test_winners_join_on_the_position(spark):
+    std = C.standardize(_raw(spark, [("1", "A", "2024-01-01", "10", "USD", None, "DONE", "c", None), ("2", None, "2024-01-01", "10", "USD", None, "DONE", "c", None),
+                                     ("3", None, "2024-01-01", "10", "USD", None, "DONE", "c", None)]))
+    marked = C.mark_duplicates(std, score_cols=C.data_columns(std))
+    plan = marked._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter, (_source_pos" in plan  # no key of many rows meets in a join
+    assert {r["_source_pos"]: r["_keep"] for r in marked.collect()} == {"1": True, "2": True, "3": True}  # no key: all stay
+
+
+def test_a_run_leaves_no_staged_table(spark):
+    import os
+
+    from ledgerlake.session import checkpoint_dir
+
+    before = set(os.listdir(checkpoint_dir(spark)))
+    res = PL.run(T.raw_sales(spark, SF_SMALL), checkpoint=True)
+    assert res.gold.count() > 0 and len(set(os.listdir(checkpoint_dir(spark))) - before) == 1
+    res.close()
+    assert set(os.listdir(checkpoint_dir(spark))) <= before
