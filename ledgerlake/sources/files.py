@@ -152,6 +152,10 @@ def export_orders_csv(orders: DataFrame, path: str) -> None:
 
 def parity_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows in one source but not the other (as multisets); empty = parity."""
-    return a.exceptAll(b).withColumn("side", F.lit("left_only")).unionByName(
-        b.exceptAll(a).withColumn("side", F.lit("right_only"))
-    )
+    n = F.col("_n")
+    both = a.withColumn("_n", F.lit(1)).unionAll(b.withColumn("_n", F.lit(-1)))
+    return both.groupBy(*a.columns).agg(F.sum("_n").cast("int").alias("_n")).where(n != 0).select(
+        *a.columns,
+        F.when(n > 0, F.lit("left_only")).otherwise(F.lit("right_only")).alias("side"),
+        F.explode(F.sequence(F.lit(1), F.abs(n))).alias("_i"),
+    ).drop("_i")
