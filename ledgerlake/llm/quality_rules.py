@@ -6,16 +6,19 @@ more, fail it. The method then measures what a public sentencepiece vocabulary
 makes of the words: characters per token, the share of tokens that are byte
 fallbacks, and the entropy of the text's token distribution relative to the
 most that its number of tokens allows. Each language has a band for each
-measure, derived from its own texts that pass the base rules: ``width`` times
-the distance between the quartiles (at least ``slack``) beyond either quartile.
+measure, derived from its own distinct texts that pass the base rules: ``width``
+times the distance between the quartiles, and at least the measure's own least
+width, beyond either quartile. A text counts once however many copies it has, so
+copies neither shrink a band nor draw it to themselves.
 A text's own band is wider by ``noise`` / sqrt(words), what chance alone moves a
 mean over so many words. A text outside a band of its language is rejected.
 
 Two passes over narrow rows: the first reads every whole text once and is
-staged as numbers; the bands are one map-side combined aggregate (quantile
+staged as numbers and a 128-bit hash of the text; copies are folded by that hash
+(combined map-side) and the bands are one map-side combined aggregate (quantile
 sketches) with one row per language, joined back by language. A language with
-fewer than ``min_texts`` texts takes the band of all texts together, as do
-texts without a language. Null and empty texts have no words, fail the base
+fewer than ``min_texts`` distinct texts takes the band of all texts together, as
+do texts without a language. Null and empty texts have no words, fail the base
 rule and are not kept. Repeated rows get equal results. A word's tokens depend
 on the word alone, so they are kept in a bounded cache; long texts are whole.
 """
@@ -29,6 +32,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +43,9 @@ MAX_WORDS = 300_000
 SYMBOLS = b"#*$%&|<>"
 _NOT_COUNTED = bytes([0x20, *range(0x09, 0x0E), *range(0x80, 0xC0)])  # spaces and UTF-8 continuation bytes
 MEASURES = ("chars_per_token", "byte_share", "entropy")
+#: A band's least width beyond a quartile, as (a constant, a share of the median):
+#: characters per token have a scale that depends on language and vocabulary.
+LEAST = {"chars_per_token": (0.0, 0.05), "byte_share": (0.05, 0.0), "entropy": (0.2, 0.0)}
 
 
 def default_path() -> str:
@@ -113,7 +120,7 @@ def vocabulary(path: str) -> Fertility:
 
 
 def measure(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, lang, the base counts and the three measures of every text."""
+    """doc_id, lang, the base counts, the three measures and a hash of every text."""
     path = path or default_path()
     ints = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -128,35 +135,40 @@ def measure(docs: DataFrame, path: str | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo)]
                     + [pa.array([c[i] for c in base], pa.int64()) for i in range(5)]
-                    + [pa.array([m[i] for m in more], pa.float64()) for i in range(3)],
-                    names=["doc_id", "lang", *ints, *MEASURES],
+                    + [pa.array([m[i] for m in more], pa.float64()) for i in range(3)]
+                    + [pa.array([xxhash.xxh3_128_digest(t) for t in part], pa.binary())],
+                    names=["doc_id", "lang", *ints, *MEASURES, "text_hash"],
                 )
 
     kinds = ", ".join([f"{c} long" for c in ints] + [f"{m} double" for m in MEASURES])
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
-    ).mapInArrow(rows, f"doc_id long, lang string, {kinds}")
+    ).mapInArrow(rows, f"doc_id long, lang string, {kinds}, text_hash binary")
 
 
-def judge(measured: DataFrame, min_words: int = 50, repeat_percent: int = 50, width: float = 3.0, slack: float = 0.05, noise: float = 0.5, min_texts: int = 50) -> DataFrame:
+def judge(measured: DataFrame, min_words: int = 50, repeat_percent: int = 50, width: float = 3.0, least: dict = LEAST, noise: float = 0.5, min_texts: int = 50) -> DataFrame:
     """``measured`` with base_failed and kept."""
     rows = measured.withColumn(
         "base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     )
     sound = rows.where(~F.col("base_failed"))
-    quantiles = [F.percentile_approx(m, [0.25, 0.75], 10_000).alias(m) for m in MEASURES]
-    by_lang = sound.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"), *quantiles).where(F.col("n") >= min_texts).drop("n")
+    quantiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in MEASURES]
+
+    def distinct(*key: str) -> DataFrame:
+        return sound.groupBy(*key, "text_hash").agg(*[F.min(m).alias(m) for m in MEASURES])  # equal in all copies
+
+    by_lang = distinct("lang").where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"), *quantiles).where(F.col("n") >= min_texts).drop("n")
 
     def band(b: DataFrame, prefix: str) -> list:
         out = []
         for m in MEASURES:
-            q1, q3 = F.col(m)[0], F.col(m)[1]
-            beyond = F.greatest(width * (q3 - q1), F.lit(slack))
+            q1, q2, q3 = F.col(m)[0], F.col(m)[1], F.col(m)[2]
+            beyond = F.greatest(width * (q3 - q1), F.lit(least[m][0]) + least[m][1] * q2)
             out += [(q1 - beyond).alias(f"{prefix}{m}_low"), (q3 + beyond).alias(f"{prefix}{m}_high")]
         return out
 
     own = C.stage(by_lang.select(F.col("lang").alias("_lang"), *band(by_lang, "_own_")), "fertility-bands")
-    whole = sound.agg(*quantiles)
+    whole = distinct().agg(*quantiles)
     limits = whole.select(*band(whole, "")).first().asDict()  # one row of six numbers
     joined = rows.join(own, rows.lang == own._lang, "left")
     inside, more = F.lit(True), noise / F.sqrt(F.greatest("n_words", F.lit(1)))
