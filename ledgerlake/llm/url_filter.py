@@ -8,11 +8,16 @@ context never seen falls back to the next shorter one. A URL's score is the mean
 log-likelihood difference per character (accepted minus rejected), and it is
 allowed if that reaches a threshold calibrated on labelled URLs held out of the
 counts: half way between a low quantile of the accepted and a high one of the
-rejected.
+rejected below it.
 
-Labels are weak and given by the caller: a condition that marks rejected URLs,
-by default seed words in the host; URLs that no rule blocks and no seed marks
-are the accepted ones. Digits count as one character.
+Rejected examples are the URLs that a rule blocks, those that the caller labels
+as rejected, and those whose host has a seed word as a whole part (between dots
+and hyphens). All others are accepted ones; where the caller labels accepted URLs,
+only these and allow-ruled ones are. A label goes before rule and seed. The threshold is calibrated on seeded and labelled examples, or on
+those that a rule blocks where there are no others. A rule may block URLs for
+what the rule names alone: where the classes overlap, only the rejected below
+nearly all accepted count for the threshold, and if those are no more than chance
+puts there, everything is allowed. Digits count as one character.
 
 All counts cover every distinct text. The n-gram table is one aggregate of
 exploded grams (map-side combined); shorter grams are sums over it. Grams and
@@ -52,8 +57,8 @@ class Rule:
 
 
 RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
-#: Words that mark a host as a rejected example.
-SEEDS = ("casino", "cheap", "pills", "spam", "adult", "porn", "viagra", "free-", "bets", "ads-", "track")
+#: Words that mark a host as a rejected example, as whole parts of it.
+SEEDS = ("casino", "cheap", "pills", "spam", "adult", "porn", "viagra", "free", "bets", "ads", "track")
 
 
 def host_of(url: Column) -> Column:
@@ -74,7 +79,7 @@ def match_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, C
 
 
 def seeded(host: Column, seeds: tuple[str, ...] = SEEDS) -> Column:
-    return F.coalesce(*[F.when(F.contains(host, F.lit(s)), F.lit(True)) for s in seeds], F.lit(False))
+    return F.arrays_overlap(F.split(host, "[.-]"), F.array(*map(F.lit, seeds))) if seeds else F.lit(False)
 
 
 def _grams(texts: DataFrame) -> DataFrame:
@@ -124,33 +129,60 @@ def score(texts: DataFrame, train: Column, rejected: Column) -> DataFrame:
     return texts.join(sums, "text")
 
 
-def judge(pages: DataFrame, rules: list[Rule] = RULES, seeds: tuple[str, ...] = SEEDS, low: float = 0.01, high: float = 0.99, seed: int = 5) -> DataFrame:
-    """page_id, host, path, rule, verdict, score of every page; ``score`` is null where a rule decides."""
+def threshold(scored: DataFrame, low: float, high: float) -> float | None:
+    """The least score that is allowed; None allows all.
+
+    ``scored``: score, rejected, certain and held_out. Held-out texts of a class
+    decide, or all of it where none are held out.
+    """
+    held, by = F.col("held_out"), {"accepted": ~F.col("rejected"), "certain": F.col("certain"), "blocked": F.col("rejected")}
+    n = scored.agg(*[F.count_if(c & h).alias(f"{k}_{x}") for k, c in by.items() for x, h in (("held", held), ("all", F.lit(True)))]).first().asDict()
+    if not n["accepted_all"] or not n["blocked_all"]:
+        return None
+    rejected = "certain" if n["certain_all"] else "blocked"
+    cls = {k: by[k] & (held if n[f"{k}_held"] else F.lit(True)) for k in ("accepted", rejected)}
+    size = n[f"{rejected}_held"] or n[f"{rejected}_all"]
+    acc = scored.agg(F.percentile_approx(F.when(cls["accepted"], F.col("score")), low, 10_000)).first()[0]
+    below = cls[rejected] & (F.col("score") < acc)
+    rej, found = scored.agg(F.percentile_approx(F.when(below, F.col("score")), high, 10_000), F.count_if(below)).first()
+    if found <= low * size + 3 * (low * size) ** 0.5:  # no more than accepted ones would have there
+        return None
+    return (acc + rej) / 2
+
+
+def judge(
+    pages: DataFrame, rules: list[Rule] = RULES, seeds: tuple[str, ...] = SEEDS, low: float = 0.01, high: float = 0.99, seed: int = 5,
+    labelled: DataFrame | None = None,
+) -> DataFrame:
+    """page_id, host, path, rule, verdict, score of every page; ``score`` is null where a rule decides.
+
+    ``labelled`` has known URLs: ``url`` and ``rejected`` (boolean).
+    """
     host, path = F.col("host"), F.col("path")
     rule, ruled = match_rule(host, path, rules)
+    text = F.regexp_replace(F.concat(host, path), "[0-9]", "0")
     rows = (
         pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
         .select("page_id", "host", "path", rule.alias("rule"), ruled.alias("ruled"))
-        .withColumn("text", F.regexp_replace(F.concat(host, path), "[0-9]", "0"))
+        .withColumn("text", text)
     )
-    bad = seeded(host, seeds)
+    labels_accepted = labelled is not None and not labelled.where(~F.col("rejected")).isEmpty()
+    clean = F.coalesce(F.col("ruled") == "allow", F.lit(False)) if labels_accepted else F.lit(True)
+    examples = rows.select("text", clean.alias("clean"), seeded(host, seeds).alias("seeded"), F.coalesce(F.col("ruled") == "block", F.lit(False)).alias("blocked"), F.lit(None).cast("boolean").alias("label"))
+    if labelled is not None:
+        known = labelled.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("rejected").alias("label"))
+        examples = examples.unionByName(known.select(text.alias("text"), F.lit(True).alias("clean"), F.lit(False).alias("seeded"), F.lit(False).alias("blocked"), "label"))
     texts = C.stage(
-        rows.groupBy("text").agg(F.max(bad).alias("rejected"), F.max(F.coalesce(F.col("ruled") == "block", F.lit(False))).alias("blocked"))
-        .withColumn("held_out", F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(4)) == 0),
+        examples.groupBy("text").agg(F.max("seeded").alias("seeded"), F.max("blocked").alias("blocked"), F.max("label").alias("label"), F.max("clean").alias("clean"))
+        .select(
+            "text", F.coalesce("label", F.col("seeded") | F.col("blocked")).alias("rejected"), F.coalesce("label", "seeded").alias("certain"), "clean",
+            (F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(4)) == 0).alias("held_out"),
+        ),
         "url-texts",
     )
-    label = F.col("rejected") | ~F.col("blocked")  # a text that is only blocked by a rule is no example
-    scored = C.stage(score(texts, label & ~F.col("held_out"), F.col("rejected")), "url-scores")
-
-    def quantile(of: Column, share: float) -> Column:
-        # of held-out texts, or of all labelled ones where none are held out
-        q = lambda c: F.percentile_approx(F.when(c, F.col("score")), share, 10_000)
-        return F.coalesce(q(of & F.col("held_out")), q(of))
-
-    acc, rej = scored.agg(
-        quantile(label & ~F.col("rejected"), low).alias("acc"), quantile(F.col("rejected"), high).alias("rej")
-    ).first()
-    limit = None if acc is None or rej is None else (acc + rej) / 2
+    example = F.col("rejected") | F.col("clean")
+    scored = C.stage(score(texts, example & ~F.col("held_out"), F.col("rejected")), "url-scores")
+    limit = threshold(scored.where(example), low, high)
     joined = rows.join(scored.select(F.col("text").alias("_t"), "score"), F.col("text") == F.col("_t"), "left")
     method = F.lit("allow") if limit is None else F.when(F.col("score") >= F.lit(limit), "allow").otherwise("block")
     return joined.select(
