@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -423,6 +424,29 @@ def encode(docs: DataFrame, path: str | None = None, decoded: bool = True) -> Da
     return _two(docs).mapInArrow(rows, "doc_id long, ids array<int>" + ", decoded string" * decoded)
 
 
+def with_decoded(encoded: DataFrame, path: str | None = None, most: int = 1 << 18) -> DataFrame:
+    """``encoded`` with ``decoded``, the text of its ``ids``, in pieces of at most ``most`` tokens (or one row)."""
+    path = path or default_path()
+    C.prepare(encoded.sparkSession)
+    at = encoded.columns.index("ids")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(path)
+        for b in batches:
+            ids = b.column(at)
+            sizes = ids.value_lengths().fill_null(0).to_pylist()
+            lo = size = 0
+            for i, n in enumerate([*sizes, most + 1]):
+                if size + n > most and i > lo:
+                    piece = b.slice(lo, i - lo)
+                    texts = [None if x is None else bpe.decode(np.array(x, "<u4").tobytes()).decode() for x in piece.column(at).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
+                    lo, size = i, 0
+                size += n
+
+    return encoded.mapInArrow(rows, T.StructType(encoded.schema.fields + [T.StructField("decoded", T.StringType())]))
+
+
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, number of tokens, SHA-256 of the ids and of the decoded text: ``encode`` without its arrays."""
     path = path or default_path()
@@ -463,3 +487,8 @@ def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Pipeline stage: doc_id and token ids of every row."""
     C.prepare(spark)
     return encode(docs, decoded=False).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+def decode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Second half of the BPE stage: the rows of ``encode_stage`` with ``decoded``, the text of their ids."""
+    return with_decoded(docs)
