@@ -5,7 +5,9 @@ for IBANs, ranges for addresses, digit counts for phones) and a base score. A
 word of the kind's context in the ``WINDOW`` characters around a span raises
 its score. Base kinds are always reported; the added kinds are when their score
 reaches ``THRESHOLD``: an IBAN passes by its checksum alone, a social security
-number only with its context.
+number only with its context. An IBAN may be followed by capitals, as in
+``IBAN ... BIC ...``: where the longest run of groups fails the checksum, those
+that end at an earlier blank are tried too (see ``ibans``).
 
 DataFrame functions only, one pass and no shuffle; every text is searched whole.
 Patterns are written so that no search runs twice over the same stretch
@@ -67,9 +69,59 @@ BASE = [
     S.Kind("card", r"[0-9](?:[\x20-]?[0-9])++", _card, lambda t: F.rlike(t, F.lit(r"[0-9](?:[\x20-]?[0-9]){11}"))),
     S.Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: F.length(digits(m)).between(9, 15), lambda t: F.contains(t, F.lit("+"))),
 ]
-_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+_GROUPS = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: The first four characters of an IBAN; group 1 is the longest run of groups from there.
+_IBAN = rf"(?<![A-Za-z0-9])(?=({_GROUPS}))[A-Z]{{2}}[0-9]{{2}}"
+_IBAN_HEAD = 4
+#: Characters of an IBAN by country. Countries that are not listed have any length.
+IBAN_LENGTH = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW", 31: "MT SC", 32: "LC",
+}
+
+
+def longest_iban(run: Column) -> Column:
+    """The run if it passes, else its longest part up to a blank that does; null if none.
+
+    A part must have its country's length: by chance one in 97 parts passes the checksum.
+    """
+    pieces = F.split(run, " ")
+    parts = F.transform(F.sequence(F.size(pieces), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(pieces, F.lit(1), k), " "))
+    lengths = F.create_map(*[F.lit(x) for n, names in IBAN_LENGTH.items() for c in names.split() for x in (c, n)])
+
+    def passes(part: Column) -> Column:
+        iban = F.regexp_replace(part, " ", "")
+        n = F.length(iban)
+        sized = (F.length(part) == F.length(run)) | (F.coalesce(lengths[F.substring(part, 1, 2)], n) == n)
+        return F.when(sized & (n >= 12), mod97(iban)).otherwise(F.lit(False))
+
+    return F.get(F.filter(parts, passes), F.lit(0))
+
+
+def ibans(text: Column) -> Column:
+    """Like ``spans.find``, but a span ends where ``longest_iban`` ends, and the search goes on there."""
+    gaps, runs = F.split(text, _IBAN, -1), F.regexp_extract_all(text, F.lit(_IBAN), F.lit(1))
+    steps = F.zip_with(gaps, runs, lambda gap, run: F.struct(F.length(gap).alias("gap"), F.when(run.isNotNull(), longest_iban(run)).alias("m")))
+    none = F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)")
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["pos"] + x["gap"]
+        end = start + F.length(x["m"])
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("match")))
+        new = x["m"].isNotNull() & (start >= acc["last"])  # not the head of a group inside the last span
+        return F.struct(
+            (start + _IBAN_HEAD).alias("pos"), F.when(new, end).otherwise(acc["last"]).alias("last"),
+            F.when(new, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"),
+        )
+
+    zero = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("last"), none.alias("out"))
+    found = F.aggregate(steps, zero, step, lambda acc: acc["out"])
+    return F.when(F.rlike(text, F.lit(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}")), found).otherwise(none)
+
+
 ADDED = [
-    S.Kind("iban", _IBAN, lambda m: mod97(F.regexp_replace(m, " ", "")), lambda t: F.rlike(t, F.lit(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"))),
+    S.Kind("iban", _IBAN, find=ibans),
     S.Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", None, lambda t: F.rlike(t, F.lit(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"))),
 ]
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}

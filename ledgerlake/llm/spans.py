@@ -14,12 +14,14 @@ from . import common as C
 @dataclass(frozen=True)
 class Kind:
     """A kind of span: its pattern, a test on the matched text, and one on the whole
-    text that is true whenever the pattern can match at all (None: always look)."""
+    text that is true whenever the pattern can match at all (None: always look). A
+    kind whose spans are not just the pattern's matches has a ``find`` of its own."""
 
     name: str
     pattern: str
     valid: Callable[[Column], Column] | None = None
     may: Callable[[Column], Column] | None = None
+    find: Callable[[Column], Column] | None = None
 
 
 def find(text: Column, kind: Kind) -> Column:
@@ -28,6 +30,8 @@ def find(text: Column, kind: Kind) -> Column:
     What the pattern splits the text into gives the gaps between matches, so the
     start of each follows from the lengths before it.
     """
+    if kind.find:
+        return kind.find(text)
     gaps, found = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     steps = F.zip_with(gaps, found, lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
     none = F.expr("cast(array() as array<struct<start:int,end:int,match:string>>)")
