@@ -22,6 +22,7 @@ START, END = dt.date(1997, 1, 1), dt.date(1998, 12, 31)
 PREV_START, PREV_END = M.previous_period(START, END)
 REGIONS = ("North America", "Europe, Middle East and Africa")
 STATUSES = ("COMPLETED", "CANCELED")
+BOOL_TEXTS = ("no", "Yes ", "TRUE", "t", " y", "0", "1", "false", "", "truely")
 
 REQ = M.MetricRequest("revenue_total_usd", START, END)
 
@@ -307,4 +308,18 @@ def build():
         "o_orderkey", S.parse_bool(F.substring("o_orderpriority", 1, 1)).alias("is_urgent")
     )
     o["parse_bool"] = "SELECT o_orderkey, COALESCE(lower(trim(substr(o_orderpriority, 1, 1))) IN ('true', '1', 'yes', 'y', 't'), FALSE) AS is_urgent FROM orders"
+    # the same on whole texts: truthy, falsy, padded, null and the untouched priority
+    q["parse_bool_text"] = lambda s, sf: T.read_table(s, sf, "orders").select(
+        "o_orderkey",
+        S.parse_bool(
+            F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit(" "), F.upper((F.col("o_custkey") % 2 == 0).cast("string")), F.lit("\t")))
+            .when(F.col("o_orderkey") % 4 == 1, F.element_at(F.array(*map(F.lit, BOOL_TEXTS)), (F.col("o_custkey") % len(BOOL_TEXTS) + 1).cast("int")))
+            .when(F.col("o_orderkey") % 4 == 2, F.col("o_orderpriority"))
+        ).alias("is_true"),
+    )
+    o["parse_bool_text"] = (
+        "SELECT o_orderkey, COALESCE(lower(trim(CASE o_orderkey % 4 WHEN 0 THEN ' ' || upper((o_custkey % 2 = 0)::VARCHAR) || chr(9)"
+        f" WHEN 1 THEN ([{', '.join(repr(t) for t in BOOL_TEXTS)}])[o_custkey % {len(BOOL_TEXTS)} + 1]"
+        " WHEN 2 THEN o_orderpriority END, ' ' || chr(9))) IN ('true', '1', 'yes', 'y', 't'), FALSE) AS is_true FROM orders"
+    )
     return q, o
