@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, mixing, pii, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, topk_search, url_filter
+from . import bpe, decontamination, filter_audit, mixing, periodic_runs, pii, quality_classifier, quality_rules, secret_scan, simhash, substring_dedup, topk_search, url_filter
 
 
 def queries() -> dict:
@@ -19,10 +19,17 @@ def queries() -> dict:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_exact_topk_search": topk_search.op9_exact_topk_search,
         "op10_pii": pii.op10_pii,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+        "op13_benchmark_decontamination": decontamination.op13_benchmark_decontamination,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Only where SQL can express the whole operator; the others have brute-force tests in tests/llm."""
-    return {"op9_exact_topk_search": topk_search.ORACLE_SQL}
+    return {
+        "op9_exact_topk_search": topk_search.ORACLE_SQL,
+        "op11_filter_audit": filter_audit.ORACLE_SQL,
+        "op13_benchmark_decontamination": decontamination.ORACLE_SQL,
+    }
