@@ -12,11 +12,12 @@ benchmark item (a shorter item is one window). Plan:
    Neighbouring windows mostly share them, so lists are kept by the distinct triples
    (rarest term, second, distance between them), not by window.
 4. Each pair's second list is shifted by the distance and the two lists are
-   intersected by an equality join on (pair, row, position): one row for each
-   place where both terms stand as in the window, never all pairs of two lists.
-5. The places become window starts. They are gathered by document row, and every word
-   of the window is compared with the document's words there: exact phrases.
-   Words inside any of them are hit.
+   intersected by an equality join on (pair, row, stretch of 2 slop + 1 places): one
+   row for each place where both terms stand as in the window or at most ``slop`` words
+   off, never all pairs of two lists. The result is staged.
+5. Places that are not off become window starts. They are gathered by document row, and
+   every word of the window is compared with the document's words there: exact
+   phrases. Words inside any of them are hit.
 
 Proximity: a window is near a document if its two rarest terms stand there at most
 ``slop`` words off their distance in the window (exact phrases included).
@@ -78,7 +79,8 @@ def build_index(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     items = C.stage(cut.join(windows, "window").select("wid", "item").distinct(), "window-items")
 
     terms = windows.select("wid", F.posexplode("window").alias("place", "term"))
-    count = train.select(F.explode("words").alias("term")).join(terms.select("term").distinct(), "term").groupBy("term").agg(F.count("*").alias("n"))
+    known = C.stage(terms.select("term").distinct(), "test-terms")  # a join side of known size, or one that can be split
+    count = train.select(F.explode("words").alias("term")).join(known, "term").groupBy("term").agg(F.count("*").alias("n"))
     count = C.stage(count, "term-counts")
     ranked = terms.join(count, "term").groupBy("wid").agg(F.sort_array(F.collect_list(F.struct("n", "place", "term"))).alias("r"))
     first = F.col("r")[0]
@@ -90,28 +92,30 @@ def build_index(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     chosen = C.stage(chosen, "window-terms")
     triple = ["term", "other", "apart"]
     pairs = numbered(chosen.select(*triple).distinct(), "term-pairs", "pid")
-    rare = pairs.select(F.explode(F.array("term", "other")).alias("term")).distinct()
+    rare = C.stage(pairs.select(F.explode(F.array("term", "other")).alias("term")).distinct(), "rare-terms")
     postings = train.select("row", F.posexplode("words").alias("pos", "term")).join(rare, "term").select("term", "row", "pos")
     return Index(train, items, C.stage(chosen.join(pairs, triple).select("wid", "window", "pid", "at"), "windows"), pairs, C.stage(postings, "postings"))
 
 
-def together(index: Index, slop: int = 0) -> DataFrame:
-    """(pid, row, pos): the rarest term's places where the other term stands at its
-    distance, or at most ``slop`` words off it. Distinct."""
-    one = index.postings.join(index.pairs.select("pid", "term"), "term").select("pid", "row", "pos")
+def together(index: Index, slop: int = SLOP) -> DataFrame:
+    """(pid, row, pos, off): the rarest term's places where the other term stands at most
+    ``slop`` words off its distance, and by how many. One row for each such place and off."""
+    width = 2 * slop + 1
+    stretch = lambda c: F.floor(c / width)
+    one = index.postings.join(index.pairs.select("pid", "term"), "term").select(
+        "pid", "row", "pos", F.explode(F.array_distinct(F.array(stretch(F.col("pos") - slop), stretch(F.col("pos") + slop)))).alias("stretch")
+    )
+    shifted = F.col("pos") - F.col("apart")
     other = index.postings.join(index.pairs.select("pid", F.col("other").alias("term"), "apart"), "term")
-    if slop:
-        off = F.explode(F.sequence(F.col("pos") - F.col("apart") - slop, F.col("pos") - F.col("apart") + slop)).alias("pos")
-        other = other.select("pid", "row", off).distinct()
-    else:
-        other = other.select("pid", "row", (F.col("pos") - F.col("apart")).alias("pos"))
-    return one.join(other, ["pid", "row", "pos"])
+    other = other.select("pid", "row", shifted.alias("there"), stretch(shifted).alias("stretch"))
+    off = F.col("there") - F.col("pos")
+    return one.join(other, ["pid", "row", "stretch"]).where(F.abs(off) <= slop).select("pid", "row", "pos", off.alias("off"))
 
 
-def phrase_matches(index: Index) -> DataFrame:
+def phrase_matches(index: Index, places: DataFrame) -> DataFrame:
     """row, matches: the exact occurrences (start, end, wid) of windows in each document that
-    has any, by start; places are word numbers, the end exclusive."""
-    at = together(index).join(index.windows, "pid").select("row", (F.col("pos") - F.col("at")).alias("start"), "wid", "window").where("start >= 0")
+    has any, by start; word numbers, the end exclusive. ``places`` is of :func:`together`."""
+    at = places.where("off = 0").join(index.windows, "pid").select("row", (F.col("pos") - F.col("at")).alias("start"), "wid", "window").where("start >= 0")
     by_row = at.groupBy("row").agg(F.collect_list(F.struct("start", "wid", "window")).alias("places"))
     same = F.filter("places", lambda p: F.slice("words", p["start"] + 1, F.size(p["window"])) == p["window"])
     found = index.docs.select("row", "words").join(by_row, "row").select("row", same.alias("places"))
@@ -119,9 +123,9 @@ def phrase_matches(index: Index) -> DataFrame:
     return found.where(F.size("places") > 0).select("row", F.sort_array(spans).alias("matches"))
 
 
-def near_items(index: Index, slop: int = SLOP) -> DataFrame:
+def near_items(index: Index, places: DataFrame) -> DataFrame:
     """(row, item): items with a window near the document (see the module's text). Distinct."""
-    near = together(index, slop).select("row", "pid").distinct()
+    near = places.select("row", "pid").distinct()
     return near.join(index.windows.select("pid", "wid"), "pid").join(index.items, "wid").where("item IS NOT NULL").select("row", "item").distinct()
 
 
@@ -138,10 +142,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """Per document: doc_id, n_words, matches (spans of exact phrases, null without any), n_hit
     words inside them, items (ids with exact phrases, sorted as strings), n_near items near it."""
     index = build_index(docs, benchmark, window)
-    exact = C.stage(phrase_matches(index), "phrases")
+    places = C.stage(together(index, slop), "places")
+    exact = C.stage(phrase_matches(index, places), "phrases")
     items = exact.select("row", F.explode(F.col("matches.wid")).alias("wid")).distinct().join(index.items, "wid").where("item IS NOT NULL")
     items = items.select("row", "item").distinct().groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    near = near_items(index, slop).groupBy("row").agg(F.count("*").alias("n_near"))
+    near = near_items(index, places).groupBy("row").agg(F.count("*").alias("n_near"))
     return index.docs.select("row", "doc_id", "n_words").join(exact, "row", "left").join(items, "row", "left").join(near, "row", "left").select(
         "doc_id", "n_words", "matches", F.coalesce(covered(F.col("matches")), F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"),

@@ -114,7 +114,7 @@ def test_matches_are_spans(spark):
 def test_no_python_in_the_plans(spark, benchmark_folder):
     docs, items = (spark.read.parquet(f"{benchmark_folder}/{t}.parquet") for t in ("documents", "benchmark"))
     index = D.build_index(docs, items)
-    for df in (D.phrase_matches(index), D.near_items(index), D.op13_benchmark_decontamination(spark, benchmark_folder)):
+    for df in (D.together(index), D.phrase_matches(index, D.together(index)), D.near_items(index, D.together(index)), D.op13_benchmark_decontamination(spark, benchmark_folder)):
         plan = df._jdf.queryExecution().toString()
         assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
 
@@ -125,7 +125,6 @@ def test_a_passage_in_a_third_of_all_documents(spark, tmp_path):
     rows = [(i, f"w{i} " * 5 + (passage if i % 3 == 0 else "") + " a" * 200) for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     index = D.build_index(docs, spark.createDataFrame([(1, passage), (2, "a " * 12)], "item_id long, text string"))
-    exact = D.phrase_matches(index).count()
-    assert exact == 900
-    pairs = index.pairs.count()
-    assert D.together(index).count() <= 300 * pairs + 900 * 200
+    places = D.together(index, 2)
+    assert D.phrase_matches(index, places).count() == 900
+    assert places.count() <= 300 * index.pairs.count() + 900 * 200 * 5
