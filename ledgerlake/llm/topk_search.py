@@ -10,16 +10,21 @@ the k best (upper bound at least the k-th best lower bound), only those are
 rescored exactly; if no bound proves it early, all segments are taken and the
 scores are exact anyhow. Nothing is dropped without proof.
 
-Queries and candidates are dealt in blocks of bounded size; every block of the
-stated query set meets every block of candidates in one task, which passes on
-k rows a query; those are merged per query in two steps (within the map task's
-rows, then one short list per query). There is no collected side.
+A segment is a list for each dimension of (rows, values), so the work of a query is the
+postings it reads. Queries and candidates are dealt in blocks of bounded size, by the
+number of the row and not its content; every block of the stated query set meets every
+block of candidates in one task, which indexes its candidates once, leads the queries
+past in slices, and passes on k rows a query. Those are merged per query row, the
+best k of each map task first. There is no collected side. A candidate is copied once
+for each ``query_block`` queries, a query once for each ``block`` candidates.
 
 Vectors that are null or hold a null or non-finite component take no part.
 Vectors of unlike lengths are compared as if the shorter one ended in zeros.
 Rows with a null id are no queries and, as candidates, take no part (a result
-could not name them). Repeated ids are candidates row by row; a query row's own
-id is never its candidate. Scores beyond the long range saturate.
+could not name them). Repeated ids are candidates row by row, and each query row has a result
+of its own, so a repeated query id has its ranks as often; a row with the query's own
+id is never its candidate. Scores beyond the long range saturate. Only vec_id and
+embedding are read, so further columns change nothing. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -69,69 +74,82 @@ def _exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 class ImpactIndex:
     """The postings of one block of candidates, in segments by bit length of their values."""
 
+    #: Queries that are led past the postings together.
+    SLICE = 512
+
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[order], rows[order]
-        bits = np.ceil(np.log2(np.abs(self.rows) + 1)).astype(np.int64)
-        self.segments = [(int(b), np.where(bits == b, self.rows, 0.0)) for b in np.unique(bits[bits > 0])[::-1]]
+        row, dim = np.nonzero(self.rows)
+        value = self.rows[row, dim]
+        bits = np.ceil(np.log2(np.abs(value) + 1)).astype(np.int64)
+        order = np.lexsort((row, dim, -bits))
+        row, dim, value, bits = row[order], dim[order], value[order], bits[order]
+        edges = np.flatnonzero(np.diff(bits, prepend=-1) | np.diff(dim, prepend=-1))
+        self.segments: list[tuple[int, list]] = []
+        for lo, hi in zip(edges, [*edges[1:], len(row)]):
+            if not self.segments or self.segments[-1][0] != bits[lo]:
+                self.segments.append((int(bits[lo]), []))
+            self.segments[-1][1].append((int(dim[lo]), row[lo:hi], value[lo:hi, None]))
 
     def top(self, qid: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query id, vec_id, score) of the k best of this block for each query."""
+        """(number of the query, vec_id, score) of the k best of this block for each query."""
+        parts = [self._top(lo, qid[lo : lo + self.SLICE], queries[lo : lo + self.SLICE], k) for lo in range(0, len(qid), self.SLICE)]
+        return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
+
+    def _top(self, first: int, qid: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n, m = len(qid), len(self.ids)
         norm = np.abs(queries).sum(axis=1)
-        own = qid[:, None] == self.ids[None, :]
+        own = self.ids[:, None] == qid[None, :]
         # sums of whole doubles are exact up to 2^53; beyond, each bound is widened by the rounding
         most = norm * float(np.abs(self.rows).max(initial=0))
         fuzz = np.where(most < 2**52, 0.0, most * 1e-9)
-        acc = np.zeros((n, m))
+        acc = np.zeros((m, n))
         acc[own] = -np.inf
-        may = ~own
-        for i, (bits, part) in enumerate(self.segments):
-            acc += queries @ part.T
+        may, by_dim = ~own, np.ascontiguousarray(queries.T)
+        for i, (_, lists) in enumerate(self.segments):
+            for dim, row, value in lists:
+                acc[row] += value * by_dim[dim]
             rest = norm * (2.0 ** self.segments[i + 1][0] - 1) if i + 1 < len(self.segments) else np.zeros(n)
             if m > k:
-                bar = np.partition(acc, m - k, axis=1)[:, m - k]  # the k-th best score so far
-                may = ~own & (acc + (rest + fuzz)[:, None] >= (bar - rest - fuzz)[:, None])
+                bar = np.partition(acc, m - k, axis=0)[m - k]  # the k-th best score so far
+                may = ~own & (acc + (rest + fuzz) >= bar - rest - fuzz)
                 if may.sum() <= 4 * k * n:
                     break  # proven: no other can be among the k best
-        q_at, c_at = np.nonzero(may)
+        q_at, c_at = np.nonzero(may.T)
         score = np.concatenate(
             [_exact(queries[q_at[i : i + 8192]], self.rows[c_at[i : i + 8192]]) for i in range(0, len(q_at), 8192)] or [np.zeros(0, np.int64)]
         )
         order = np.lexsort((self.ids[c_at], -score.astype(object) if len(score) and score.min() == _LONG.min else -score, q_at))
         q_at, c_at, score = q_at[order], c_at[order], score[order]
-        rank = np.arange(len(q_at)) - np.searchsorted(q_at, q_at)
-        first = rank < k
-        return qid[q_at[first]], self.ids[c_at[first]], score[first]
+        best = np.arange(len(q_at)) - np.searchsorted(q_at, q_at) < k
+        return first + q_at[best], self.ids[c_at[best]], score[best]
 
 
-def search(queries: DataFrame, candidates: DataFrame, k: int = 20, query_block: int = 512, block: int = 4096) -> DataFrame:
+def search(queries: DataFrame, candidates: DataFrame, k: int = 20, query_block: int = 8192, block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of every query row."""
-    spark = candidates.sparkSession
-    queries, candidates = C.stage(queries, "topk-queries"), C.stage(candidates, "topk-candidates")
+    number = F.monotonically_increasing_id()  # fixed by writing it
+    queries, candidates = C.stage(queries.withColumn("row", number), "topk-queries"), C.stage(candidates.withColumn("row", number), "topk-candidates")
     n_q = max(1, -(-queries.count() // query_block))
     n_c = max(1, -(-candidates.count() // block))
-    # a block is a hash class of the row; both sides are dealt to the pairs of blocks
-    q_side = queries.select(
-        F.lit(True).alias("query"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_q)).alias("qb"), "vec_id", "v"
-    ).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_c - 1).cast("long"))))
-    c_side = candidates.select(
-        F.lit(False).alias("query"), F.pmod(F.xxhash64(F.lit(7), "vec_id", "v"), F.lit(n_c)).alias("cb"), "vec_id", "v"
-    ).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
+    dealt = lambda n: F.pmod(F.xxhash64("row"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    q_side = queries.select("row", "vec_id", "v", dealt(n_q).alias("qb")).withColumn("cb", every(n_c))
+    c_side = candidates.select(F.lit(None).cast("long").alias("row"), "vec_id", "v", dealt(n_c).alias("cb")).withColumn("qb", every(n_q))
 
     def rows(pair: pa.Table) -> pa.Table:
-        is_query = pair.column("query").to_numpy()
+        row = pair.column("row").combine_chunks()
+        is_query = row.is_valid().to_numpy(zero_copy_only=False)
         ids = pair.column("vec_id").to_numpy()
         vec = pair.column("v").combine_chunks()
         flat, offs = vec.flatten().to_numpy(zero_copy_only=False), vec.offsets.to_numpy() - vec.offsets[0].as_py()
         width = int(np.diff(offs).max(initial=1)) or 1
         full = _matrix([flat[a:b] for a, b in zip(offs, offs[1:])], width)
         q, c, s = ImpactIndex(ids[~is_query], full[~is_query]).top(ids[is_query], full[is_query], k)
-        return pa.table({"query_id": q, "vec_id": c, "score": s})
+        return pa.table({"row": row.drop_null().to_numpy()[q], "query_id": ids[is_query][q], "vec_id": c, "score": s})
 
-    pairs = q_side.select("query", "qb", "cb", "vec_id", "v").unionByName(c_side.select("query", "qb", "cb", "vec_id", "v"))
-    part = pairs.groupBy("qb", "cb").applyInArrow(rows, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    part = q_side.unionByName(c_side).groupBy("qb", "cb").applyInArrow(rows, "row long, query_id long, vec_id long, score long")
+    w = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -142,14 +160,14 @@ def op9_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  SELECT row_number() OVER () AS row, vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  SELECT q.row, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
   FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
 ), r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+  SELECT *, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
