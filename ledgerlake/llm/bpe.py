@@ -483,12 +483,7 @@ def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(C.table(spark, sf_dir, "documents"))
 
 
-def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: doc_id and token ids of every row."""
+def codec_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: doc_id, token ids and the text that they decode to, of every row."""
     C.prepare(spark)
-    return encode(docs, decoded=False).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
-
-
-def decode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Second half of the BPE stage: the rows of ``encode_stage`` with ``decoded``, the text of their ids."""
-    return with_decoded(docs)
+    return encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")

@@ -25,7 +25,8 @@ def steps(request, spark, folder):
 def test_columns(steps):
     _, out = steps
     assert all(o.columns == out[0].columns for o in out[1:-1])
-    assert out[-1].columns == ["doc_id", "n_tokens", "ids"]
+    assert out[-1].columns == ["doc_id", "n_tokens", "ids", "decoded"]
+    assert [n for n, _ in corpus_pipeline.STAGES][-1] == "BPE encoding and decoding"
 
 
 def test_quality_stage(spark, steps):
@@ -76,7 +77,9 @@ def test_bpe_stage(steps):
     lib = Tokenizer.from_file(bpe.default_path())
     _, out = steps
     want = Counter((r.doc_id, tuple(lib.encode(r.text or "", add_special_tokens=False).ids)) for r in out[4].collect())
-    assert Counter((r.doc_id, tuple(r.ids)) for r in out[5].collect()) == want
+    rows = out[5].collect()
+    assert Counter((r.doc_id, tuple(r.ids)) for r in rows) == want
+    assert all(r.decoded == lib.decode(r.ids, skip_special_tokens=False) for r in rows)
 
 
 def test_run_drops_what_it_staged(spark):
