@@ -9,9 +9,8 @@ kept; its result is written as Parquet and read again as the next one's docs:
 4. mixing: every document as often as its source's target weight asks for;
 5. BPE: the token ids of each row, and the text that they decode to.
 
-All but the last return the columns of documents. The last is made of two parts:
-STAGES has the encoding, and ``run`` puts DECODE behind it, before the rows are
-written, so the pipeline's rows are doc_id, n_tokens, ids and decoded.
+All but the last return the columns of documents; the pipeline's rows are doc_id,
+n_tokens, ids and decoded.
 """
 
 from __future__ import annotations
@@ -26,12 +25,9 @@ STAGES = [
     ("SimHash near-dedup", simhash.keep_one_of_each),
     ("PII", pii.redact_stage),
     ("mixing sources to target weights", mixing.mix_stage),
-    ("BPE encoding", bpe.encode_stage),
+    ("BPE encoding and decoding", bpe.codec_stage),
 ]
 
-#: Second part of the BPE stage.
-DECODE = bpe.decode_stage
-
 #: Training dictionaries and merging by rank have no SQL form: the stages are
 #: tested against brute force instead.
 ORACLE_SQL = None
@@ -41,8 +37,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = C.table(spark, sf_dir, "documents"), C.staged()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        if i + 1 == len(STAGES):
-            docs = DECODE(spark, docs, sf_dir)
         docs = C.stage(docs, f"pipeline-{i + 1}")
         C.drop_staged(spark, [p for p in C.staged()[:-1] if p not in before])  # all but this stage's table
     return docs
