@@ -1,4 +1,4 @@
-"""Join helpers: size-checked broadcast and lookup joins."""
+"""Join helpers: lookups, the join of two periods, long IN lists."""
 
 from __future__ import annotations
 
@@ -6,32 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def checked_broadcast(dim: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``dim`` only when it has at most ``max_rows`` rows.
+def lookup_join(df: DataFrame, dim: DataFrame, on: str | list[str] | Column) -> DataFrame:
+    """Equi left lookup of ``df`` against a dimension table.
 
-    The check reads at most ``max_rows + 1`` rows. Beyond the bound the plain
-    DataFrame is returned and the join falls back to a shuffle join (AQE may
-    still convert it at run time from measured sizes).
+    There is no broadcast hint and no job while the plan is built: Spark broadcasts the
+    dimension if its files' statistics or, at run time, its measured bytes are below
+    ``spark.sql.autoBroadcastJoinThreshold``, and shuffles both sides otherwise.
     """
-    n = dim.limit(max_rows + 1).count()
-    return F.broadcast(dim) if n <= max_rows else dim
+    return df.join(dim, on, "left")
 
 
-def lookup_join(df: DataFrame, dim: DataFrame, on: str | list[str] | Column, max_rows: int = 100_000) -> DataFrame:
-    """Equi left lookup of ``df`` against a dimension table."""
-    return df.join(checked_broadcast(dim, max_rows), on, "left")
+def period_outer_join(cur: DataFrame, prev: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
+    """The keys of two aggregates together, a null key included; a missing side or value reads as 0.
 
-
-def period_outer_join(cur: DataFrame, prev: DataFrame, key: str, value: str = "value") -> DataFrame:
-    """Union of the key sets of two aggregates; a missing side reads as 0."""
-    return (
-        cur.withColumnRenamed(value, "cur_value")
-        .join(prev.withColumnRenamed(value, "prev_value"), key, "full")
-        .select(
-            key,
-            F.coalesce("cur_value", F.lit(0.0)).alias("cur_value"),
-            F.coalesce("prev_value", F.lit(0.0)).alias("prev_value"),
-        )
+    The aggregates hold one row per key, so the join is as small as they are.
+    """
+    c, p = cur.select(F.col(key).alias("_ck"), F.col(value).alias("_cv"), F.lit(1).alias("_c")), prev.select(F.col(key).alias("_pk"), F.col(value).alias("_pv"))
+    return c.join(p, c["_ck"].eqNullSafe(p["_pk"]), "full").select(
+        F.when(F.col("_c").isNotNull(), F.col("_ck")).otherwise(F.col("_pk")).alias(key),
+        F.coalesce("_cv", F.lit(0.0)).alias("cur_value"),
+        F.coalesce("_pv", F.lit(0.0)).alias("prev_value"),
     )
 
 

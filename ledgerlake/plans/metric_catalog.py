@@ -169,8 +169,10 @@ def build():
     o["growth_breakdown"] = Q.with_sales() + (
         f"SELECT key, {Q.growth('cur_value', 'prev_value')} AS value FROM ({_period_totals_sql('region')})"
     )
-    q["period_outer_join"] = lambda s, sf: M.period_totals(_sales(s, sf), _req("revenue_growth_pct"), "country")
+    q["period_outer_join"] = lambda s, sf: J.period_outer_join(*M.period_values(_sales(s, sf), _req("revenue_growth_pct"), "country"))
     o["period_outer_join"] = Q.with_sales() + _period_totals_sql("country")
+    q["period_totals"] = lambda s, sf: M.period_totals(_sales(s, sf), _req("revenue_growth_pct"), "category")
+    o["period_totals"] = Q.with_sales() + _period_totals_sql("category")
 
     # A9 box statistics of the margin series; T4 the capped outlier list
     q["margin_box"] = lambda s, sf: M.margin_box(_sales(s, sf), _req("profit_margin_pct", time_grain="week"))
@@ -184,6 +186,12 @@ def build():
         f"unnest(outliers) AS outlier FROM ({_box_sql('day')}))"
     )
 
+    q["cap_outliers_at_20"] = lambda s, sf: (
+        M.box_stats(M.metric_series(_sales(s, sf), _req("profit_margin_pct", time_grain="day")), max_outliers=20)
+        .select(F.posexplode("outliers").alias("pos", "outlier"))
+    )
+    o["cap_outliers_at_20"] = f"SELECT * FROM ({o['cap_outliers']}) WHERE pos < 20"
+
     # A10-A12 metadata, dimensions, customers; U2 distinct pairs
     q["dataset_meta"] = lambda s, sf: M.dataset_meta(_sales(s, sf))
     o["dataset_meta"] = Q.with_sales() + "SELECT count(*) AS rows, min(order_date) AS date_min, max(order_date) AS date_max FROM sales"
@@ -215,6 +223,10 @@ def build():
     o["locked_completed"] = Q.with_sales() + f"SELECT {SALES_COLS} FROM sales WHERE order_status = 'COMPLETED'"
     q["in_list_semi"] = lambda s, sf: J.in_list_semi(_sales(s, sf), "country", ["NATION_1", "NATION_7", "NATION_19"]).select("order_id", "country")
     o["in_list_semi"] = Q.with_sales() + "SELECT order_id, country FROM sales WHERE country IN ('NATION_1', 'NATION_7', 'NATION_19')"
+    # a list too long to inline: a semi join
+    wanted = [str(i) for i in range(1, 9000, 4)]
+    q["in_list_semi_join"] = lambda s, sf: J.in_list_semi(_sales(s, sf), "customer_id", wanted).select("order_id", "customer_id")
+    o["in_list_semi_join"] = Q.with_sales() + "SELECT order_id, customer_id FROM sales WHERE CAST(customer_id AS INT) < 9000 AND CAST(customer_id AS INT) % 4 = 1"
     q["default_date_range"] = lambda s, sf: M.default_date_range(_sales(s, sf))
     o["default_date_range"] = Q.with_sales() + "SELECT min(order_date) AS start, max(order_date) AS \"end\" FROM sales"
     q["previous_period"] = lambda s, sf: (
@@ -264,6 +276,14 @@ def build():
         + " UNION ALL ".join(f"SELECT 'distribution', '{st}', {st} FROM ({box})" for st in ("q1", "median", "q3", "iqr", "whisker_low", "whisker_high"))
     )
 
+    q["metric_query_growth"] = lambda s, sf: M.metric_query_rows(_sales(s, sf), _req("revenue_growth_pct", group_by="country", time_grain="week"))
+    gcmp, gseries = (x[len(Q.with_sales()):] for x in (_comparison_sql("revenue_growth_pct"), _series_sql("revenue_growth_pct", "week")))
+    o["metric_query_growth"] = Q.with_sales() + " UNION ALL ".join(
+        [f"SELECT '{c}' AS part, CAST(NULL AS VARCHAR) AS key, {c} AS value FROM ({gcmp})" for c in ("value", "comparison_value", "delta", "delta_pct")]
+        + [f"SELECT 'series', period_start, value FROM ({gseries})",
+           f"SELECT 'breakdown', key, {Q.growth('cur_value', 'prev_value')} FROM ({_period_totals_sql('country')})"]
+    )
+
     # P17 / P18 time buckets and period starts; P24 growth labels
     q["time_bucket"] = lambda s, sf: _sales(s, sf).select(
         "order_id", *[S.time_bucket("order_date", g).alias(g) for g in R.TIME_GRAINS]
@@ -304,10 +324,8 @@ def build():
         "c_custkey", S.non_finite_to_null("c_acctbal").alias("c_acctbal")
     )
     o["non_finite_to_null"] = "SELECT c_custkey, CASE WHEN isnan(c_acctbal) OR isinf(c_acctbal) THEN NULL ELSE c_acctbal END AS c_acctbal FROM customer"
-    q["parse_bool"] = lambda s, sf: T.read_table(s, sf, "orders").select(
-        "o_orderkey", S.parse_bool(F.substring("o_orderpriority", 1, 1)).alias("is_urgent")
-    )
-    o["parse_bool"] = "SELECT o_orderkey, COALESCE(lower(trim(substr(o_orderpriority, 1, 1))) IN ('true', '1', 'yes', 'y', 't'), FALSE) AS is_urgent FROM orders"
+    q["parse_bool"] = lambda s, sf: _sales(s, sf).select("order_id", S.parse_bool((F.col("order_status") == "COMPLETED").cast("string")).alias("is_completed"))
+    o["parse_bool"] = Q.with_sales() + "SELECT order_id, COALESCE(order_status = 'COMPLETED', FALSE) AS is_completed FROM sales"
     # the same on whole texts: truthy, falsy, padded, null and the untouched priority
     q["parse_bool_text"] = lambda s, sf: T.read_table(s, sf, "orders").select(
         "o_orderkey",

@@ -247,6 +247,28 @@ def build():
     q["read_raw_sales"] = _s1
     o["read_raw_sales"] = W() + "SELECT _source_pos, " + ", ".join(f'{PS.na(chr(34) + h + chr(34))} AS "{h}"' for h in T.RAW_HEADERS) + " FROM raw_sales"
 
+    # fields with quotes, commas and line breaks, read in parallel splits
+    broken = "CASE WHEN length(_source_pos) % 4 = 0 THEN 'said \"' || \"PaymentMethod\" || '\",' || chr(10) || \"PaymentMethod\" ELSE \"PaymentMethod\" END"
+
+    def _line_breaks(s, sf):
+        path = _scratch(s, "raw_csv")
+        IO.write_csv(_raw(s, sf).withColumn("PaymentMethod", F.expr(broken.replace('"PaymentMethod"', "`PaymentMethod`"))), path)
+        return IO.read_raw_sales(s, path)
+
+    q["csv_line_breaks"] = _line_breaks
+    o["csv_line_breaks"] = W() + "SELECT _source_pos, " + ", ".join(
+        f'{PS.na(broken if h == "PaymentMethod" else chr(34) + h + chr(34))} AS "{h}"' for h in T.RAW_HEADERS) + " FROM raw_sales"
+
+    def _positions(s, sf):
+        # the rows in one order over all files, and then the numbers that reading gives them
+        path = _scratch(s, "ordered_csv")
+        rows = _raw(s, sf).withColumnRenamed("_source_pos", "Key").repartitionByRange("Key").sortWithinPartitions("Key")
+        IO.write_csv(rows, path)
+        return IO.read_raw_sales(s, path).select("Key", "OrderID", F.col("_source_pos").alias("position"))
+
+    q["source_positions"] = _positions
+    o["source_positions"] = W() + f"SELECT _source_pos AS \"Key\", {PS.na(chr(34) + 'OrderID' + chr(34))} AS \"OrderID\", row_number() OVER (ORDER BY _source_pos) - 1 AS position FROM raw_sales"
+
     def _gold_csv(s, sf):
         gold = _res(s, sf, anomaly=True).gold
         path = _scratch(s, "gold_csv")

@@ -10,33 +10,27 @@ from pyspark.sql import types as T
 from .. import reference_data as R
 from ..functions import scalars as S
 from ..operators.cleaning import SOURCE_POS
-from .partitioning import spread_scan
+from .csv_records import read_records
 
 # Keep the text exactly as given: no trimming on read or write, quotes doubled
-# inside quoted fields. Fields with line breaks need ``multiLine`` (a file is then
-# read by one task), so that is left to the caller's own reader.
+# inside quoted fields.
 _CSV_TEXT = {
     "header": "true", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "quote": '"', "escape": '"',
 }
 
 
-def read_raw_sales(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_raw_sales(spark: SparkSession, path: str | list[str], written: list[str] | None = None) -> DataFrame:
     """Header CSV, every column a string, missing-value tokens -> NULL.
 
-    ``_source_pos`` (input order, for de-duplication ties) comes from the file
-    when present, else from file name + in-file order. Reading the header
-    once for the names is the only driver-side step.
+    Fields may hold line breaks; a record with more fields than the header
+    fails the read (see :mod:`csv_records`). ``_source_pos`` is the column of
+    that name if the file has one, else the number of the data row over all
+    files in path order, from 0. ``written`` gets the paths of the staged lines.
     """
-    paths = [path] if isinstance(path, str) else list(path)
-    header = spark.read.options(**_CSV_TEXT).csv(paths[0]).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    # every file's header must name these columns in this order, else the read fails
-    df = spark.read.options(**_CSV_TEXT, enforceSchema="false").schema(schema).csv(paths)
-    df = df.select(*[F.col(c) if c == SOURCE_POS else S.na_to_null(F.col(c)).alias(c) for c in header])
-    if SOURCE_POS not in header:
-        pos = F.concat_ws(":", F.input_file_name(), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"))
-        df = df.withColumn(SOURCE_POS, pos)
-    return spread_scan(df, SOURCE_POS)
+    rows, header = read_records(spark, [path] if isinstance(path, str) else list(path), written)
+    value = lambda i: F.try_element_at("fields", F.lit(i + 1))
+    columns = [(value(i) if c == SOURCE_POS else S.na_to_null(value(i))).alias(c) for i, c in enumerate(header)]
+    return rows.select(*columns, *([] if SOURCE_POS in header else [F.col("row").alias(SOURCE_POS)]))
 
 
 def first_existing(spark: SparkSession, candidates: list[str]) -> str | None:

@@ -55,3 +55,23 @@ def test_warehouse_write_is_range_partitioned_by_date(spark):
     p = _plan(IO.warehouse_layout(T.sales(spark, SF_SMALL)))
     assert "rangepartitioning(order_date" in p and "order_id" in p.split("rangepartitioning(")[1].split(")")[0]
     assert "hashpartitioning(order_year" not in p
+
+
+def test_metric_response_reads_each_table_once(spark):
+    from dataclasses import replace
+
+    for metric, grain in (("profit_margin_pct", "month"), ("revenue_growth_pct", "week"), ("revenue_total_usd", "day")):
+        req = replace(MC.REQ, metric_id=metric, time_grain=grain, group_by="country")
+        p = _plan(M.metric_query_rows(T.sales(spark, SF_SMALL), req))
+        assert p.count("/lineitem.parquet") == p.count("/orders.parquet") == 1 and p.count("Expand") == 1
+
+
+def test_metric_plans_are_built_without_jobs(spark):
+    sc = spark.sparkContext
+    sc.setJobGroup("plan-only", "no action")
+    try:
+        sales = T.sales(spark, SF_SMALL)
+        M.metric_query_rows(sales, MC.REQ), M.metric_series(sales, MC.REQ), M.growth_breakdown(sales, MC.REQ)
+        assert list(sc.statusTracker().getJobIdsForGroup("plan-only")) == []
+    finally:
+        sc._jsc.clearJobGroup()
