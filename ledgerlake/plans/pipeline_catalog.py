@@ -92,8 +92,8 @@ def build():
     q["region_group"] = lambda s, sf: std(s, sf).groupBy(
         S.region_group(S.canonical_region("region")).alias("region_group")).agg(F.count(F.lit(1)).alias("rows"))
     o["region_group"] = W() + f"SELECT {_rg(_cr('region'))} AS region_group, count(*) AS rows FROM std GROUP BY 1"
-    q["parse_filter_date"] = lambda s, sf: std(s, sf).select("_source_pos", S.parse_filter_date(F.col("_raw.order_date")).alias("filter_date"))
-    o["parse_filter_date"] = W() + f"SELECT _source_pos, CAST({PS.parse_dates('r_order_date', S.FILTER_DATE_FORMATS)} AS DATE) AS filter_date FROM std"
+    q["parse_filter_date"] = lambda s, sf: std(s, sf).select("_source_pos", S.parse_filter_date(F.regexp_replace("_raw.order_date", "-0", "-")).alias("filter_date"))  # ISO days, unpadded
+    o["parse_filter_date"] = W() + f"SELECT _source_pos, CAST({PS.parse_filter_date("replace(r_order_date, '-0', '-')")} AS DATE) AS filter_date FROM std"
     q["parse_float"] = lambda s, sf: std(s, sf).select("_source_pos", S.parse_float(F.col("_raw.discount_rate")).alias("discount_value"))
     o["parse_float"] = W() + (
         "SELECT _source_pos, CASE WHEN isnan(v) OR isinf(v) THEN NULL ELSE v END AS discount_value "

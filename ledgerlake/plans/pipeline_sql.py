@@ -33,7 +33,9 @@ def _order_date() -> str:
     d = "CAST(l.l_shipdate AS DATE)"
     vt = f"(({K} + 5 * {N}) % 16)"
     return (
-        f"CASE {vt} WHEN 5 THEN strftime({d}, '%m/%d/%Y') WHEN 6 THEN strftime({d}, '%d/%m/%Y') "
+        f"CASE {vt} WHEN 4 THEN strftime({d}, '%Y%m%dT101500') WHEN 13 THEN strftime({d}, '%-m.%-d.%Y') "
+        f"WHEN 14 THEN strftime({d}, '%d-%b-%y') WHEN 15 THEN strftime({d}, '%Y-%m-%d 03:15 PM') "
+        f"WHEN 5 THEN strftime({d}, '%m/%d/%Y') WHEN 6 THEN strftime({d}, '%d/%m/%Y') "
         f"WHEN 7 THEN strftime({d}, '%b %-d, %Y') WHEN 8 THEN strftime({d}, '%Y%m%d') "
         f"WHEN 9 THEN strftime({d}, '%Y-%m-%d 00:00:00') WHEN 10 THEN 'not a date' WHEN 11 THEN NULL "
         f"WHEN 12 THEN strftime({d}, '%Y') || '-13-' || strftime({d}, '%d') ELSE strftime({d}, '%Y-%m-%d') END"
@@ -85,34 +87,32 @@ def clean_numeric(s: str) -> str:
     return f"(CASE WHEN coalesce(regexp_matches({s}, '^\\s*\\(.*\\)\\s*$'), false) THEN -{v} ELSE {v} END)"
 
 
-# Spark pattern -> strftime pattern, same order as scalars.MIXED_DATE_FORMATS.
-SPARK_TO_STRPTIME = {
-    "yyyy-MM-dd HH:mm:ss": "%Y-%m-%d %H:%M:%S",
-    "yyyy-MM-dd'T'HH:mm:ss": "%Y-%m-%dT%H:%M:%S",
-    "yyyy-MM-dd": "%Y-%m-%d",
-    "yyyy/MM/dd": "%Y/%m/%d",
-    "M/d/yyyy": "%m/%d/%Y",
-    "d/M/yyyy": "%d/%m/%Y",
-    "M-d-yyyy": "%m-%d-%Y",
-    "d-M-yyyy": "%d-%m-%Y",
-    "d.M.yyyy": "%d.%m.%Y",
-    "MMM d, yyyy": "%b %d, %Y",
-    "MMMM d, yyyy": "%B %d, %Y",
-    "d MMM yyyy": "%d %b %Y",
-    "d MMMM yyyy": "%d %B %Y",
-    "yyyyMMdd": "%Y%m%d",
-    "MMMM yyyy": "%B %Y",
-    "MMM yyyy": "%b %Y",
-    "yyyy": "%Y",
-}
-
-
-def parse_dates(s: str, formats) -> str:
-    return "coalesce(" + ", ".join(f"try_strptime(trim({s}), '{SPARK_TO_STRPTIME[f]}')" for f in formats) + ")"
+# Request dates, in order: ISO, day first, month first.
+REQUEST_DATES = ("%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y")
+
+
+def parse_filter_date(s: str) -> str:
+    return "coalesce(" + ", ".join(f"try_strptime(trim({s}), '{f}')" for f in REQUEST_DATES) + ")"
 
 
 def parse_mixed_date(s: str) -> str:
-    return parse_dates(s, S.MIXED_DATE_FORMATS)
+    """A parser of its own: the shape of the text picks one reading."""
+    t = f"trim({s})"
+    part = lambda i: f"CAST(regexp_extract({t}, '^(\\d+)\\D(\\d+)\\D(\\d+)$', {i}) AS INTEGER)"
+    ymd = f"printf('%04d-%02d-%02d', {part(3)}, CASE WHEN {part(1)} > 12 THEN {part(2)} ELSE {part(1)} END, CASE WHEN {part(1)} > 12 THEN {part(1)} ELSE {part(2)} END)"
+    short = f"CAST(right({t}, 2) AS INTEGER)"
+    century = f"CASE WHEN 2000 + {short} >= year(current_date) + 50 THEN 1900 + {short} ELSE 2000 + {short} END"
+    shapes = {
+        r"\d{4}-\d\d-\d\d": f"try_strptime({t}, '%Y-%m-%d')",
+        r"\d{4}-\d\d-\d\d \d\d:\d\d:\d\d": f"try_strptime({t}, '%Y-%m-%d %H:%M:%S')",
+        r"\d{4}-\d\d-\d\d \d\d:\d\d [AP]M": f"try_strptime({t}, '%Y-%m-%d %I:%M %p')",
+        r"\d{8}": f"try_strptime({t}, '%Y%m%d')",
+        r"\d{8}T\d{6}": f"try_strptime({t}, '%Y%m%dT%H%M%S')",
+        r"\d{1,2}[./]\d{1,2}[./]\d{4}": f"try_strptime({ymd}, '%Y-%m-%d')",
+        r"[A-Z][a-z]{2} \d{1,2}, \d{4}": f"try_strptime({t}, '%b %d, %Y')",
+        r"\d\d-[A-Z][a-z]{2}-\d\d": f"try_strptime(left({t}, 7) || CAST({century} AS VARCHAR), '%d-%b-%Y')",
+    }
+    return "(CASE " + " ".join(f"WHEN regexp_full_match({t}, '{rx}') THEN {v}" for rx, v in shapes.items()) + " END)"
 
 
 def normalize_region(s: str) -> str:

@@ -178,3 +178,5 @@ BREAKDOWN_DIMENSIONS: tuple[str, ...] = (
     "payment_method", "order_status",
 )
 TIME_GRAINS: tuple[str, ...] = ("day", "week", "month")
+#: Texts that mean true, lower-cased.
+TRUTHY: tuple[str, ...] = ("true", "1", "yes", "y", "t")

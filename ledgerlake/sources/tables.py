@@ -216,7 +216,8 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("_d")
     vt = (k + 5 * n) % 16
     order_date = (
-        F.when(vt == 5, F.date_format(d, "MM/dd/yyyy"))
+        F.when(vt == 4, F.date_format(d, "yyyyMMdd'T'101500"))
+        .when(vt == 5, F.date_format(d, "MM/dd/yyyy"))
         .when(vt == 6, F.date_format(d, "dd/MM/yyyy"))
         .when(vt == 7, F.date_format(d, "MMM d, yyyy"))
         .when(vt == 8, F.date_format(d, "yyyyMMdd"))
@@ -224,6 +225,9 @@ def raw_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(vt == 10, F.lit("not a date"))
         .when(vt == 11, F.lit(None).cast("string"))
         .when(vt == 12, F.concat(F.date_format(d, "yyyy"), F.lit("-13-"), F.date_format(d, "dd")))
+        .when(vt == 13, F.date_format(d, "M.d.yyyy"))
+        .when(vt == 14, F.date_format(d, "dd-MMM-yy"))
+        .when(vt == 15, F.date_format(d, "yyyy-MM-dd '03:15 PM'"))
         .otherwise(F.date_format(d, "yyyy-MM-dd"))
     )
 
