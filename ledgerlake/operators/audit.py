@@ -3,11 +3,13 @@ post-run gold checks. Each is one aggregate pass over its input."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import reference_data as R
-from .validation import pct_2dp
+from .validation import RULE_CODES, pct_2dp
 
 
 def reason_counts(error_log: DataFrame) -> DataFrame:
@@ -104,14 +106,55 @@ def tagged_counts(raw: DataFrame, tagged: DataFrame, stage: str = "stage") -> Da
         *[F.count_if(rejected & c).alias(n) for n, c in _dimension_flags()],
     )
     j = count_rows(raw, "raw_total_rows").crossJoin(tag)
+    return with_checksum(j)
+
+
+def with_checksum(counts: DataFrame) -> DataFrame:
     delta = F.col("raw_total_rows") - (F.col("valid_rows_gold") + F.col("rejected_rows_total"))
-    return j.select(
+    return counts.select(
         "*",
         delta.alias("mismatch_delta"),
         F.when(delta == 0, F.lit("VERIFIED")).otherwise(F.lit("ERROR_IN_CALCULATION")).alias("checksum_status"),
     )
 
 
+# ----------------------------------------------- counters of the writes ---
+
+def reason_codes() -> list[str]:
+    """Every single reason code that a stage can give."""
+    critical = [c.upper() for c in R.CRITICAL_COLUMNS]
+    missing = ["_".join(x) for n in range(1, len(critical) + 1) for x in combinations(critical, n)]
+    floors = [p.upper().replace(" ", "_").replace(".", "") for p in R.PRODUCT_MIN_PRICE]
+    return [f"UNPARSEABLE_OR_MISSING_{m}" for m in missing] + [f"UNIT_PRICE_LOW_{f}" for f in floors] + list(RULE_CODES)
+
+
+def log_counters() -> list[Column]:
+    """What an error log tells the report, as aggregates to observe while it is written."""
+    reason = F.coalesce(F.col("failure_reason"), F.lit(""))
+    listed = F.concat(F.lit("; "), reason, F.lit("; "))
+    return [
+        F.count(F.lit(1)).alias("rejected_rows_total"), *[F.count_if(c).alias(n) for n, c in _dimension_flags()],
+        *[F.count_if(F.col("severity") == x).alias(f"severity:{x}") for x in (*R.REPORT_SEVERITIES,)],
+        F.count_if(~F.coalesce(F.col("severity").isin(list(R.REPORT_SEVERITIES)), F.lit(False))).alias("severity:other"),
+        *[F.count_if(listed.contains(f"; {x}; ")).alias(f"reason:{x}") for x in reason_codes()],
+        F.coalesce(F.sum(F.size(F.split(reason, "; "))), F.lit(0)).alias("reasons"),
+    ]
+
+
+def observed_report(spark: SparkSession, raw: dict, gold: dict, log: dict) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(flat report, reason counts, severity counts) from the counters of the reads and
+    writes, without a scan; None if the log holds a reason or severity that is not known."""
+    reasons = {k.split(":", 1)[1]: n for k, n in log.items() if k.startswith("reason:")}
+    if sum(reasons.values()) != log["reasons"] or log["severity:other"]:
+        return None
+    counts = {"raw_total_rows": raw["n"], "valid_rows_gold": gold["n"], "rejected_rows_total": log["rejected_rows_total"]}
+    counts |= {n: log[n] for n, _ in _dimension_flags()}
+    one = with_checksum(spark.createDataFrame([tuple(counts.values())], ", ".join(f"{k} long" for k in counts)))
+    pairs = lambda d, name: spark.createDataFrame([(k, n) for k, n in d.items()], f"{name} string, count long")
+    severities = {x: log[f"severity:{x}"] for x in R.REPORT_SEVERITIES}
+    return flat_report(one), pairs(reasons, "reason").where("count > 0").orderBy(F.desc("count"), "reason"), pairs(severities, "severity")
+
+
 def _dimension_flags() -> list[tuple[str, Column]]:
     reason = F.coalesce(F.col("failure_reason"), F.lit(""))
     return [(name.replace("_score", "_failures"), reason.rlike(rx)) for name, rx in R.QUALITY_DIMENSIONS.items()]
@@ -119,7 +162,11 @@ def _dimension_flags() -> list[tuple[str, Column]]:
 
 def audit_report_tagged(raw: DataFrame, tagged: DataFrame, stage: str = "stage") -> DataFrame:
     """:func:`audit_report` from the tagged rows (see :func:`tagged_counts`)."""
-    c = tagged_counts(raw, tagged, stage)
+    return flat_report(tagged_counts(raw, tagged, stage))
+
+
+def flat_report(c: DataFrame) -> DataFrame:
+    """The flat report from one row of counts and dimension failures."""
     dims = [
         pct_2dp(f"(raw_total_rows - {n.replace('_score', '_failures')})", "raw_total_rows").alias(n)
         for n in R.QUALITY_DIMENSIONS

@@ -10,6 +10,13 @@ from ..functions import scalars as S
 from .enrichment import zero_revenue_sign
 
 
+#: Reason codes beside the missing fields and the price floors.
+RULE_CODES = (
+    "REDUNDANT_DUPLICATE_ORDER_ID", "INVALID_REVENUE_AMOUNT", "SUSPICIOUS_LOSS_MARGIN", "UNREALISTIC_PROFIT_MARGIN", "MARGIN_OUT_OF_RANGE",
+    "EXCESSIVE_TRANSACTION_VALUE", "UNKNOWN_CURRENCY",
+)
+
+
 def _rules(df: DataFrame) -> list[tuple[Column, Column, str]]:
     """(predicate, code, severity) in reporting order. Predicates are NULL-safe."""
     amt, margin = F.col("amount_usd"), F.col("margin_pct")

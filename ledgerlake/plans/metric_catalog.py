@@ -7,6 +7,7 @@ query runs over the whole tables.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -15,6 +16,9 @@ from .. import reference_data as R
 from ..functions import scalars as S
 from ..operators import joins as J
 from ..operators import metrics as M
+from ..operators import rollup as RU
+from ..session import ensure_checkpoint_dir
+from ..sources import files as IO
 from ..sources import tables as T
 from . import sql_text as Q
 
@@ -138,6 +142,31 @@ def build():
     q["series_growth"] = lambda s, sf: M.metric_series(_sales(s, sf), _req("revenue_growth_pct", region=REGIONS[:1]))
     o["series_growth"] = _series_sql("revenue_growth_pct", "month", REGIONS[:1])
 
+    # A5, A6, A4 on a rollup that is refreshed after an append to the warehouse
+    def _rolled(s, sf):
+        shared = ensure_checkpoint_dir(s)
+        warehouse, path = (f"{shared}/{n}-{uuid.uuid4().hex}" for n in ("rollup-orders", "rollup"))
+        sales, cut = _sales(s, sf), F.col("order_id").cast("bigint") % 7 != 0
+        IO.load_warehouse(sales.where(cut), warehouse)
+        RU.write_rollup(s.read.parquet(warehouse), path)
+        late = [(y, m) for y in (1997, 1998) for m in (2, 5, 11)]
+        kept = sales.where(cut | RU.in_months(late))  # late orders of six months arrive
+        IO.load_warehouse(kept, warehouse, months=late)
+        RU.refresh_rollup(s, warehouse, path, late)
+        return s.read.parquet(path)
+
+    arrived = "(CAST(order_id AS BIGINT) % 7 <> 0 OR (order_year IN (1997, 1998) AND order_month IN (2, 5, 11)))"
+
+    def on_rollup(sql):
+        return sql.replace("FROM sales WHERE", f"FROM sales WHERE {arrived} AND")
+
+    q["rollup_series"] = lambda s, sf: M.metric_series(_rolled(s, sf), _req("profit_margin_pct"))
+    o["rollup_series"] = on_rollup(_series_sql("profit_margin_pct", "month"))
+    q["rollup_comparison"] = lambda s, sf: M.metric_comparison(_rolled(s, sf), _req("revenue_total_usd", region=REGIONS))
+    o["rollup_comparison"] = on_rollup(_comparison_sql("revenue_total_usd", REGIONS))
+    q["rollup_growth"] = lambda s, sf: M.metric_value(_rolled(s, sf), _req("revenue_growth_pct"))
+    o["rollup_growth"] = f"SELECT value FROM ({on_rollup(_comparison_sql('revenue_growth_pct'))})"
+
     # A1-A4 scalar metrics
     q["revenue_total"] = lambda s, sf: M.metric_value(_sales(s, sf), REQ)
     o["revenue_total"] = _value_sql("revenue_total_usd")

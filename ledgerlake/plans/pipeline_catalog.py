@@ -185,6 +185,15 @@ def build():
     o["consolidate_rejections"] = W(PS.error_log_sql()) + (
         "SELECT source_pos AS _source_pos, stage, severity, failure_reason, raw_order_id, amount_usd FROM error_log"
     )
+    def _consolidated_all(s, sf):
+        ensure_checkpoint_dir(s)
+        st = PL.stage_outputs(_raw(s, sf))
+        u = PL.consolidate_rejections(st["clean_rejects"], st["dedup_drops"], st["validate_rejects"])
+        typed = [F.when(F.col("stage") == "VALIDATE", F.col(c)).alias(c) for c in GOLD]
+        return u.select("_source_pos", "stage", "severity", "failure_reason", "validation_issues", *[F.col(f"_raw.{c}").alias(f"raw_{c}") for c in DATA], *typed)
+
+    q["consolidate_rejections_all"] = _consolidated_all
+    o["consolidate_rejections_all"] = W(PS.error_log_sql()) + "SELECT source_pos AS _source_pos, * EXCLUDE (source_pos) FROM error_log"
     q["union_rejections"] = lambda s, sf: _consolidated(s, sf).groupBy("stage").agg(F.count(F.lit(1)).alias("rows"))
     o["union_rejections"] = W(PS.error_log_sql()) + "SELECT stage, count(*) AS rows FROM error_log GROUP BY stage"
 
@@ -225,6 +234,36 @@ def build():
         f"{PS.pct_2dp('valid_rows_gold', 'raw_total_rows')} AS overall_quality_score "
         f"FROM (SELECT {counts}) c, (SELECT {dims_sql} FROM error_log, (SELECT count(*) AS raw_total_rows FROM raw_sales) r GROUP BY raw_total_rows) d"
     )
+    # the whole run from a file, with a report that the writes' counters give
+    def _files(s, sf):
+        out = _scratch(s, "run")
+        IO.write_csv(_raw(s, sf), f"{out}/raw_sales.csv")
+        return PL.run_files(s, [f"{out}/raw_sales_master.csv", f"{out}/raw_sales.csv"], out)
+
+    q["observed_report"] = lambda s, sf: _files(s, sf).report
+    o["observed_report"] = o["audit_report"]
+
+    def _sections(s, sf):
+        schema = (
+            "report_metadata struct<audit_timestamp:string,checksum_status:string,pipeline_status:string>, summary_counts map<string,bigint>, "
+            "data_quality_dimensions map<string,string>, severity_breakdown map<string,bigint>, rejection_reason_breakdown map<string,bigint>"
+        )
+        back = s.read.schema(schema).json(_files(s, sf).report_json)
+        meta = F.create_map(*[x for n in ("checksum_status", "pipeline_status") for x in (F.lit(n), F.col(f"report_metadata.{n}"))])
+        parts = {"report_metadata": meta} | {c: F.col(c).cast("map<string,string>") for c in back.columns[1:]}
+        return back.select(F.explode(F.map_from_entries(F.array(*[F.struct(F.lit(n), m) for n, m in parts.items()]))).alias("section", "m")).select(
+            "section", F.explode("m").alias("name", "value"))
+
+    q["report_sections"] = _sections
+    flat = o["audit_report"][len(el):]
+    pairs = lambda section, names, value: [f"SELECT '{section}' AS section, '{n}' AS name, {value.format(n)} AS value FROM flat" for n in names]
+    o["report_sections"] = W(PS.error_log_sql(), PS.gold_sql(), f"flat AS ({flat})") + " UNION ALL ".join(
+        pairs("report_metadata", ("checksum_status", "pipeline_status"), "{}")
+        + pairs("summary_counts", ("raw_total_rows", "valid_rows_gold", "rejected_rows_total", "mismatch_delta"), "CAST({} AS VARCHAR)")
+        + pairs("data_quality_dimensions", (*R.QUALITY_DIMENSIONS, "overall_quality_score"), "CAST({} AS VARCHAR) || '%'")
+        + [f"SELECT 'severity_breakdown', severity, CAST(count AS VARCHAR) FROM ({o['severity_counts'][len(el):]})",
+           f"SELECT 'rejection_reason_breakdown', reason, CAST(count AS VARCHAR) FROM ({o['reason_counts'][len(el):]})"]
+    )
     gcols = GOLD
     q["gold_audit"] = lambda s, sf: (lambda r: A.gold_audit(r.gold, r.error_log))(_res(s, sf, anomaly=True))
     checks = [f"SELECT 'nulls:{c}' AS \"check\", CAST(count_if({c} IS NULL) AS BIGINT) AS failures FROM gold" for c in gcols] + [

@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 from .. import reference_data as R
 from ..functions import scalars as S
 from ..operators.cleaning import SOURCE_POS
+from ..operators.rollup import MONTH, of_months
+from ..session import drop_tables, ensure_checkpoint_dir, materialize
 from .csv_records import read_records
 
 # Keep the text exactly as given: no trimming on read or write, quotes doubled
@@ -84,29 +86,30 @@ def read_validated(spark: SparkSession, path: str, gold_schema: T.StructType) ->
     return to_orders(read_csv_typed(spark, path, gold_schema))
 
 
-def load_warehouse(orders: DataFrame, path: str, max_records_per_file: int = 5_000_000) -> None:
-    """Replace the warehouse table: Parquet partitioned by year/month and
-    sorted by order_date inside each file, so a date-range filter prunes
-    directories and skips row groups by min/max statistics.
+def load_warehouse(orders: DataFrame, path: str, max_records_per_file: int = 5_000_000, months: list[tuple[int, int]] | None = None) -> None:
+    """Replace the warehouse table, or only the given (year, month) pairs of it: Parquet
+    partitioned by year/month and sorted by order_date inside each file, so a date-range
+    filter prunes directories and skips row groups by min/max statistics.
 
-    Rows are range-partitioned on (order_date, order_id): each write task
-    holds a contiguous slice of dates and touches one or two month folders.
-    Hashing on year/month instead would give each month to ONE task; the
-    ``order_id`` tie-breaker splits a hot date across tasks, and
-    ``maxRecordsPerFile`` bounds the file size.
+    The rows are staged first: finding the range bounds then reads the staged days
+    and ids, and whatever made the rows runs once. With ``months`` the folders of other
+    months keep their files.
     """
-    (
-        warehouse_layout(orders)
-        .write.mode("overwrite")
-        .option("maxRecordsPerFile", max_records_per_file)
-        .partitionBy("order_year", "order_month")
-        .parquet(path)
-    )
+    rows = orders if months is None else of_months(orders, months)
+    staged: list[str] = []
+    ensure_checkpoint_dir(orders.sparkSession)
+    write = warehouse_layout(materialize(rows, "warehouse-rows", staged)).write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file)
+    if months is not None:
+        write = write.option("partitionOverwriteMode", "dynamic")
+    write.partitionBy(*MONTH).parquet(path)
+    drop_tables(orders.sparkSession, staged)
 
 
 def warehouse_layout(orders: DataFrame) -> DataFrame:
-    """Rows in write order: contiguous (order_date, order_id) ranges per task,
-    sorted inside each task."""
+    """Rows in write order: contiguous (order_date, order_id) ranges per task, sorted
+    inside each task. A task then touches one or two month folders; hashing on
+    year/month would give each month to one task, and the ``order_id`` tie-breaker
+    splits a hot date across tasks."""
     return orders.repartitionByRange("order_date", "order_id").sortWithinPartitions(
         "order_year", "order_month", "order_date", "order_id"  # begins as the writer sorts, which then keeps it
     )
