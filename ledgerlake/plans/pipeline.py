@@ -54,7 +54,7 @@ def _stage(miss: Column) -> Column:
     )
 
 
-def audited_rows(raw: DataFrame, checkpoint: bool = False, with_anomaly: bool = True, written: list[str] | None = None) -> DataFrame:
+def audited_rows(raw: DataFrame, checkpoint: bool = False, anomaly: bool = True, written: list[str] | None = None) -> DataFrame:
     std = C.standardize(raw)
     if checkpoint:
         std = materialize(std, "standardized", written)
@@ -72,10 +72,8 @@ def audited_rows(raw: DataFrame, checkpoint: bool = False, with_anomaly: bool =
         enriched = materialize(enriched, "enriched", written)
     survivors = enriched.filter(~F.col("_missing") & F.col("_keep"))
     out = E.margin_flags(E.date_parts(E.profit_margin_columns(E.attach_cost(enriched))))
-    if with_anomaly:
+    if anomaly:
         out = E.iqr_anomaly(out, "amount_usd", E.iqr_bounds(survivors, "amount_usd"))
-    else:  # callers that never read the flag skip the quartile passes
-        out = out.withColumn("is_anomaly", F.lit(None).cast("boolean"))
     out = V.validate_rules(out)
     stage = _stage(F.col("_missing"))
     severity = (
@@ -92,12 +90,17 @@ def audited_rows(raw: DataFrame, checkpoint: bool = False, with_anomaly: bool =
         F.col(C.SOURCE_POS).alias("source_pos"), C.RAW,
         stage.alias("stage"), severity.alias("severity"), reason.alias("failure_reason"),
         F.col("validation_issues"),
-        *DATA_COLUMNS, *DERIVED_COLUMNS,
+        *_columns(out),
     )
 
 
+def _columns(df: DataFrame) -> list[str]:
+    """The gold columns; without ``is_anomaly`` where the quartile passes were not asked for."""
+    return [c for c in (*DATA_COLUMNS, *DERIVED_COLUMNS) if c in df.columns]
+
+
 def gold_from(audited: DataFrame) -> DataFrame:
-    return audited.filter(F.col("stage").isNull()).select(*DATA_COLUMNS, *DERIVED_COLUMNS)
+    return audited.filter(F.col("stage").isNull()).select(*_columns(audited))
 
 
 def error_log_from(audited: DataFrame) -> DataFrame:
@@ -106,7 +109,7 @@ def error_log_from(audited: DataFrame) -> DataFrame:
     rej = audited.filter(F.col("stage").isNotNull())
     val = F.col("stage") == "VALIDATE"
     raw_fields = [F.col(f"{C.RAW}.{c}").alias(f"raw_{c}") for c in DATA_COLUMNS]
-    typed = [F.when(val, F.col(c)).alias(c) for c in (*DATA_COLUMNS, *DERIVED_COLUMNS)]
+    typed = [F.when(val, F.col(c)).alias(c) for c in _columns(audited)]
     return rej.select(
         "source_pos", "stage", "severity", "failure_reason",
         F.when(val, F.col("validation_issues")).alias("validation_issues"),
@@ -114,9 +117,9 @@ def error_log_from(audited: DataFrame) -> DataFrame:
     )
 
 
-def run(raw: DataFrame, checkpoint: bool = False, with_anomaly: bool = True) -> PipelineResult:
+def run(raw: DataFrame, checkpoint: bool = False, anomaly: bool = True) -> PipelineResult:
     earlier, tables = [], []
-    audited = audited_rows(raw, checkpoint, with_anomaly, earlier)
+    audited = audited_rows(raw, checkpoint, anomaly, earlier)
     if checkpoint:
         audited = materialize(audited, "audited", tables)
         drop_tables(raw.sparkSession, earlier)  # only the audited table is still read
@@ -192,15 +195,16 @@ def staged_standardize(raw: DataFrame) -> DataFrame:
     return materialize(C.standardize(raw), "standardized")
 
 
-def stage_outputs(raw: DataFrame, with_anomaly: bool = True) -> dict[str, DataFrame]:
+def stage_outputs(raw: DataFrame, anomaly: bool = True) -> dict[str, DataFrame]:
     """The same pipeline as separate stage outputs, joined back with
     ``unionByName`` — the shape of a stage-at-a-time run."""
     std = staged_standardize(raw)
     kept, clean_rej = C.reject_missing(std)
     deduped, dropped = C.dedup_keep_fullest(kept, score_cols=C.data_columns(std))
     enriched = E.convert_currency(C.add_customer_fields(deduped))
-    bounds = E.iqr_bounds(enriched, "amount_usd") if with_anomaly else None
-    transformed = E.transform(enriched.drop("amount_usd"), bounds, with_anomaly)
+    transformed = E.transform_rows(enriched.drop("amount_usd"))
+    if anomaly:
+        transformed = E.iqr_anomaly(transformed, "amount_usd", E.iqr_bounds(enriched, "amount_usd"))
     validated = V.validate_rules(transformed)
     passed, val_rej = V.split_valid_rejected(validated)
     return {

@@ -32,13 +32,13 @@ def _audited(s, sf, anomaly=False):
     # the staged table instead of recomputing clean + dedup.
     if anomaly:
         ensure_checkpoint_dir(s)
-    return PL.audited_rows(_raw(s, sf), checkpoint=anomaly, with_anomaly=anomaly)
+    return PL.audited_rows(_raw(s, sf), checkpoint=anomaly, anomaly=anomaly)
 
 
 def _res(s, sf, anomaly=False):
     if anomaly:
         ensure_checkpoint_dir(s)
-    return PL.run(_raw(s, sf), checkpoint=anomaly, with_anomaly=anomaly)
+    return PL.run(_raw(s, sf), checkpoint=anomaly, anomaly=anomaly)
 
 
 def _raw_staging(s, sf):
@@ -160,7 +160,7 @@ def build():
     o["validate_rules"] = W() + f"SELECT source_pos, validation_issues FROM audited WHERE {SURV}"
     q["max_severity"] = lambda s, sf: _survivors(_audited(s, sf)).select("source_pos", "severity")
     o["max_severity"] = W() + f"SELECT source_pos, severity FROM audited WHERE {SURV}"
-    q["split_valid_rejected"] = lambda s, sf: V.split_valid_rejected(PL.stage_outputs(_raw_staging(s, sf), with_anomaly=False)["validated"])[1].select(
+    q["split_valid_rejected"] = lambda s, sf: V.split_valid_rejected(PL.stage_outputs(_raw_staging(s, sf), anomaly=False)["validated"])[1].select(
         "_source_pos", "severity", "failure_reason")
     o["split_valid_rejected"] = W() + "SELECT source_pos AS _source_pos, severity, failure_reason FROM audited WHERE stage = 'VALIDATE'"
     q["validation_summary"] = lambda s, sf: V.validation_summary(_survivors(_audited(s, sf)).withColumn(
@@ -177,7 +177,7 @@ def build():
     o["error_log"] = W(PS.error_log_sql()) + "SELECT * FROM error_log"
 
     def _consolidated(s, sf):
-        st = PL.stage_outputs(_raw_staging(s, sf), with_anomaly=False)
+        st = PL.stage_outputs(_raw_staging(s, sf), anomaly=False)
         u = PL.consolidate_rejections(st["clean_rejects"], st["dedup_drops"], st["validate_rejects"])
         return u.select("_source_pos", "stage", "severity", "failure_reason", F.col("_raw.order_id").alias("raw_order_id"), "amount_usd")
 

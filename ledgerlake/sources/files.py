@@ -36,15 +36,11 @@ def read_raw_sales(spark: SparkSession, path: str | list[str], written: list[str
 
 
 def first_existing(spark: SparkSession, candidates: list[str]) -> str | None:
-    """First candidate path that exists (the raw source is one of two names)."""
-    from pyspark.errors import AnalysisException
-
+    """The first candidate path that exists, in whatever store it names."""
     for p in candidates:
-        try:
-            spark.read.text(p)
+        where = spark._jvm.org.apache.hadoop.fs.Path(p)
+        if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
             return p
-        except AnalysisException:
-            continue
     return None
 
 

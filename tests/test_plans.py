@@ -16,13 +16,13 @@ def test_metric_scan_pushes_filters_and_prunes(spark):
 
 
 def test_no_python_udf_anywhere(spark):
-    for df in (M.metric_series(T.sales(spark, SF_SMALL), MC.REQ), PL.run(T.raw_sales(spark, SF_SMALL), with_anomaly=False).gold):
+    for df in (M.metric_series(T.sales(spark, SF_SMALL), MC.REQ), PL.run(T.raw_sales(spark, SF_SMALL), anomaly=False).gold):
         p = _plan(df)
         assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "PythonUDF" not in p
 
 
 def test_dedup_is_aggregate_not_window(spark):
-    p = _plan(PL.run(T.raw_sales(spark, SF_SMALL), with_anomaly=False).audited)
+    p = _plan(PL.run(T.raw_sales(spark, SF_SMALL), anomaly=False).audited)
     assert "Aggregate" in p and "Window" not in p  # partial (map-side) aggregate, no per-key sort of all rows
 
 

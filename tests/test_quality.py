@@ -129,7 +129,7 @@ def test_tagged_report_equals_three_table_report(spark):
     from ledgerlake.sources import tables as T
     from tests.conftest import SF_SMALL
 
-    res = PL.run(T.raw_sales(spark, SF_SMALL), with_anomaly=False)
+    res = PL.run(T.raw_sales(spark, SF_SMALL), anomaly=False)
     tagged = PL.report(res).first().asDict()
     separate = A.audit_report(res.raw, res.gold, res.error_log).first().asDict()
     assert tagged == separate
