@@ -75,7 +75,7 @@ class ImpactIndex:
     """The postings of one block of candidates, in segments by bit length of their values."""
 
     #: Queries that are led past the postings together.
-    SLICE = 512
+    SLICE = 64
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         order = np.argsort(ids, kind="stable")
@@ -97,6 +97,15 @@ class ImpactIndex:
         parts = [self._top(lo, qid[lo : lo + self.SLICE], queries[lo : lo + self.SLICE], k) for lo in range(0, len(qid), self.SLICE)]
         return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
 
+    @staticmethod
+    def _promising(some: np.ndarray, rest: np.ndarray, k: int) -> bool:
+        """Whether looking for the proof is worth it, judged by every 16th candidate."""
+        near = max(1, k // 16)
+        if len(some) <= near:
+            return True
+        bar = np.partition(some.T, len(some) - near, axis=1)[:, len(some) - near]
+        return 16 * (some + 2 * rest >= bar).sum() <= 8 * k * some.shape[1]
+
     def _top(self, first: int, qid: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n, m = len(qid), len(self.ids)
         norm = np.abs(queries).sum(axis=1)
@@ -104,15 +113,16 @@ class ImpactIndex:
         # sums of whole doubles are exact up to 2^53; beyond, each bound is widened by the rounding
         most = norm * float(np.abs(self.rows).max(initial=0))
         fuzz = np.where(most < 2**52, 0.0, most * 1e-9)
-        acc = np.zeros((m, n))
+        kind = np.float32 if most.max(initial=0) < 2**24 else np.float64  # either way sums of whole numbers are exact
+        acc = np.zeros((m, n), kind)
         acc[own] = -np.inf
-        may, by_dim = ~own, np.ascontiguousarray(queries.T)
+        may, by_dim = ~own, np.ascontiguousarray(queries.T.astype(kind))
         for i, (_, lists) in enumerate(self.segments):
             for dim, row, value in lists:
-                acc[row] += value * by_dim[dim]
+                acc[row] += value.astype(kind) * by_dim[dim]
             rest = norm * (2.0 ** self.segments[i + 1][0] - 1) if i + 1 < len(self.segments) else np.zeros(n)
-            if m > k:
-                bar = np.partition(acc, m - k, axis=0)[m - k]  # the k-th best score so far
+            if m > k and (i + 1 == len(self.segments) or self._promising(acc[::16], rest, k)):
+                bar = np.partition(acc.T, m - k, axis=1)[:, m - k].astype(np.float64)  # the k-th best score so far
                 may = ~own & (acc + (rest + fuzz) >= bar - rest - fuzz)
                 if may.sum() <= 4 * k * n:
                     break  # proven: no other can be among the k best
