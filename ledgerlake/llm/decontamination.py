@@ -22,8 +22,10 @@ benchmark item (a shorter item is one window). Plan:
 Proximity: a window is near a document if its two rarest terms stand there at most
 ``slop`` words off their distance in the window (exact phrases included).
 
-Joins with the terms and windows carry no hint: their sizes are known from staged
-tables, so Spark broadcasts small ones and shuffles others, splitting hot keys. A
+The row numbers of documents with a possible phrase are broadcast if they are at most
+MAX_BROADCAST_ROWS; beyond, the words are joined by shuffle. The other joins carry no
+hint: their sizes are known from staged tables, so Spark broadcasts small ones and
+shuffles others, splitting hot keys. A
 posting list is spread over rows; a hot passage meets its pair on (pair, row, position).
 
 Null texts and items without words have none; a null item_id still hits words but is
@@ -44,6 +46,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WINDOW, SLOP = 10, 3
+#: Row numbers of documents with a possible phrase that are broadcast at most.
+MAX_BROADCAST_ROWS = 1_000_000
 #: All ASCII but digits and small letters separates words, once A-Z are small.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -116,9 +120,13 @@ def phrase_matches(index: Index, places: DataFrame) -> DataFrame:
     """row, matches: the exact occurrences (start, end, wid) of windows in each document that
     has any, by start; word numbers, the end exclusive. ``places`` is of :func:`together`."""
     at = places.where("off = 0").join(index.windows, "pid").select("row", (F.col("pos") - F.col("at")).alias("start"), "wid", "window").where("start >= 0")
+    rows = C.stage(at.select("row").distinct(), "candidate-rows")
+    docs = index.docs.select("row", "words")
+    if rows.count() <= MAX_BROADCAST_ROWS:  # 8 bytes each: the words of other documents need not shuffle
+        docs = docs.join(F.broadcast(rows), "row", "left_semi")
     by_row = at.groupBy("row").agg(F.collect_list(F.struct("start", "wid", "window")).alias("places"))
     same = F.filter("places", lambda p: F.slice("words", p["start"] + 1, F.size(p["window"])) == p["window"])
-    found = index.docs.select("row", "words").join(by_row, "row").select("row", same.alias("places"))
+    found = docs.join(by_row, "row").select("row", same.alias("places"))
     spans = F.transform("places", lambda p: F.struct(p["start"].alias("start"), (p["start"] + F.size(p["window"])).alias("end"), p["wid"].alias("wid")))
     return found.where(F.size("places") > 0).select("row", F.sort_array(spans).alias("matches"))
 

@@ -88,6 +88,11 @@ def test_awkward_tables(spark, benchmark_folder):
     assert any(r[0] == 103 and not r[5] for r in got) and any(r[6] > r[3] for r in got)
 
 
+def test_more_candidates_than_are_broadcast(spark, benchmark_folder, monkeypatch):
+    monkeypatch.setattr(D, "MAX_BROADCAST_ROWS", 2)
+    compare(spark, benchmark_folder)
+
+
 def test_empty_tables(spark, benchmark_folder, tmp_path):
     def copy(name, schema, to):
         spark.createDataFrame([], schema).write.parquet(f"{to}/{name}.parquet")
