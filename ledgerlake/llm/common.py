@@ -94,6 +94,13 @@ def drop_staged(spark: SparkSession, paths: list[str]) -> None:
         _STAGED.remove(p)
 
 
+def free_prefix(columns: list[str], prefix: str) -> str:
+    """``prefix``, lengthened until no column begins with it (names differ in more than case)."""
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 def id_or_last(col: Column) -> Column:
     return F.coalesce(col.cast("long"), F.lit(NO_ID))
 

@@ -2,8 +2,8 @@
 
 Every kind has a pattern, a check of the matched text (Luhn for cards, mod-97
 for IBANs, ranges for addresses, digit counts for phones) and a base score. A
-word of the kind's context in the ``WINDOW`` characters around a span raises
-its score. Base kinds are always reported; the added kinds are when their score
+word of the kind's context that stands by itself (or in the plural) in the ``WINDOW``
+characters around a span raises its score. Base kinds are always reported; the added kinds are when their score
 reaches ``THRESHOLD``: an IBAN passes by its checksum alone, a social security
 number only with its context. An IBAN may be followed by capitals, as in
 ``IBAN ... BIC ...``: where the longest run of groups fails the checksum, those
@@ -126,38 +126,53 @@ ADDED = [
 ]
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4}
 CONTEXT = {
-    "email": "mail|contact|write to",
-    "ip": "ip|address|host|server",
+    "email": "mail|e-?mail|contact|write to",
+    "ip": "ip|ipv4|address(?:es)?|host|hostname|server",
     "card": "card|visa|mastercard|payment|credit",
-    "phone": "phone|tel|call|mobile|fax",
+    "phone": "phone|telephone|telefon|teléfono|téléphone|tel|call|mobile|fax",
     "iban": "iban|bank|account",
     "ssn": "ssn|social security|tax id",
 }
 
 
+def context_pattern(words: str) -> str:
+    """One of the words, not inside another word; a plural s may follow."""
+    return rf"(?<![\p{{L}}\p{{N}}])(?:{words})s?(?![\p{{L}}\p{{N}}])"
+
+
 def find_pii(docs: DataFrame, out: str = "findings") -> DataFrame:
     """``docs`` with a column ``out``: array of (start, order, end, kind, match, score) by start, then kind."""
     kinds = BASE + ADDED
     kept = [c for c in docs.columns if c != out]
     text = F.coalesce("text", F.lit(""))
-    cols = {k.name: f"_pii_{k.name}" for k in kinds}
-    found = docs.select(*kept, text.alias("_pii_text"), *[S.find(text, k).alias(cols[k.name]) for k in kinds])
+    own = C.free_prefix(docs.columns, "_pii_")
+    cols = {k.name: f"{own}{k.name}" for k in kinds}
+    found = docs.select(*kept, text.alias(f"{own}text"), *[S.find(text, k).alias(cols[k.name]) for k in kinds])
     spans = S.all_spans([k.name for k in kinds], lambda k: F.col(cols[k]))
     base = F.create_map(*[F.lit(x) for kv in SCORES.items() for x in kv])
-    near = F.create_map(*[F.lit(x) for kv in CONTEXT.items() for x in kv])
+    near = {k: context_pattern(w) for k, w in CONTEXT.items()}
+
+    def in_context(s: Column) -> Column:
+        """Whether a context word of the span's kind stands whole in the characters around it."""
+        lo = F.greatest(s["start"] - WINDOW - 1, F.lit(0))
+        # one character more than the window: it shows whether a word at the edge is whole
+        before, after = F.substring(f"{own}text", lo + 1, s["start"] - lo), F.substring(f"{own}text", s["end"] + 1, F.lit(WINDOW + 1))
+        around = F.lower(F.concat(before, F.lit("\n"), after))
+        out = F.lit(False)
+        for kind, pattern in near.items():
+            out = F.when(s["kind"] == kind, F.rlike(around, F.lit(pattern))).otherwise(out)
+        return out
 
     def scored(s: Column) -> Column:
-        lo = F.greatest(s["start"] - WINDOW, F.lit(0))
-        around = F.concat_ws(" ", F.substring("_pii_text", lo + 1, s["start"] - lo), F.substring("_pii_text", s["end"] + 1, F.lit(WINDOW)))
-        score = base[s["kind"]] + F.when(F.rlike(F.lower(around), near[s["kind"]]), F.lit(RAISE)).otherwise(F.lit(0.0))
+        score = base[s["kind"]] + F.when(in_context(s), F.lit(RAISE)).otherwise(F.lit(0.0))
         return F.struct(
             s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind"), s["match"].alias("match"),
             F.least(score, F.lit(1.0)).alias("score"),
         )
 
-    listed = found.select(*kept, "_pii_text", spans.alias("_pii_spans"))
+    listed = found.select(*kept, f"{own}text", spans.alias(f"{own}spans"))
     keep = lambda s: (s["order"] < len(BASE)) | (s["score"] >= THRESHOLD)
-    return listed.select(*kept, F.filter(F.transform("_pii_spans", scored), keep).alias(out))
+    return listed.select(*kept, F.filter(F.transform(f"{own}spans", scored), keep).alias(out))
 
 
 def redact(text: Column, findings: Column) -> Column:
@@ -185,12 +200,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("b", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return split.select("doc_id", *map(count, base), S.digest_of(F.col("b")).alias("base_sha256"), S.text_of(F.col("findings")).alias("spans"))
+    scores = F.array_join(F.transform("findings", lambda s: F.format_string("%.1f", s["score"])), ",")
+    return split.select("doc_id", *map(count, base), S.digest_of(F.col("b")).alias("base_sha256"), S.text_of(F.col("findings")).alias("spans"), scores.alias("scores"))
 
 
 def redact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: personal data in the texts replaced by tags, n_chars to match."""
-    found = find_pii(docs, "_pii_findings")
-    done = found.withColumn("_clean", F.when(F.col("text").isNotNull(), redact(F.col("text"), F.col("_pii_findings"))))
-    out = {"text": F.col("_clean"), "n_chars": F.length("_clean").cast("long")}
+    own = C.free_prefix(docs.columns, "_pii_")
+    found = find_pii(docs, f"{own}findings")
+    done = found.withColumn(f"{own}clean", F.when(F.col("text").isNotNull(), redact(F.col("text"), F.col(f"{own}findings"))))
+    out = {"text": F.col(f"{own}clean"), "n_chars": F.length(f"{own}clean").cast("long")}
     return done.select(*[out[c].alias(c) if c in out else F.col(c) for c in docs.columns])
