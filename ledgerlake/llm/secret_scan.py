@@ -128,7 +128,7 @@ def build_index(texts: DataFrame, trigrams: list[str]) -> DataFrame:
 
 
 def candidates(index: DataFrame, queries: dict[int, Clauses]) -> DataFrame:
-    """key and ``rules`` (bit r: rule r's query holds) by intersecting postings."""
+    """key and ``rules`` (those whose query holds) by intersecting postings."""
     uses: dict[str, list[tuple[int, int, int, int]]] = {}
     for r, clauses in queries.items():
         for c, clause in enumerate(clauses):
@@ -142,7 +142,7 @@ def candidates(index: DataFrame, queries: dict[int, Clauses]) -> DataFrame:
         .groupBy("key", "rule", "clause", "full").agg(F.bit_or("bit").alias("bits"))
         .where("bits = full")
     )
-    return hits.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
+    return hits.groupBy("key").agg(F.collect_set("rule").alias("rules"))  # at most the number of rules
 
 
 def scan(docs: DataFrame, kinds: list[S.Kind]) -> DataFrame:
@@ -152,14 +152,16 @@ def scan(docs: DataFrame, kinds: list[S.Kind]) -> DataFrame:
     kept = [c for c in docs.columns if c not in {k.name for k in kinds}]
     base = docs.select(*kept)
     text = F.coalesce("text", F.lit(""))
-    rules = F.lit(0).cast("long")
+    rules = F.expr("cast(array() as array<int>)")
     if trigrams:
         found = C.stage(candidates(build_index(docs.select("text"), trigrams), queries), "secret-candidates")
-        base = base.withColumn("_key", F.xxhash64("text")).join(found.withColumnsRenamed({"key": "_found", "rules": "_rules"}), F.col("_key") == F.col("_found"), "left")
-        rules = F.coalesce("_rules", F.lit(0))
+        own = C.free_prefix(docs.columns, "_secret_")
+        found = found.withColumnsRenamed({"key": f"{own}key", "rules": f"{own}rules"})
+        base = base.join(found, F.xxhash64(F.col("text")) == F.col(f"{own}key"), "left")
+        rules = F.coalesce(F.col(f"{own}rules"), rules)
     out = []
     for r, k in enumerate(kinds):
-        may = None if r not in queries else lambda _, r=r: rules.bitwiseAND(F.lit(1 << r)) != 0
+        may = None if r not in queries else lambda _, r=r: F.array_contains(rules, r)
         out.append(S.find(text, S.Kind(k.name, k.pattern, k.valid, may)).alias(k.name))
     return base.select(*kept, *out)
 
