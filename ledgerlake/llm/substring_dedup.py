@@ -25,8 +25,9 @@ input. Plan:
 4. The reported windows go back to their documents, each with the smallest id
    that has it; what ids are larger lose the covered words.
 
-Memory is bounded by the batch and the shard, never by a group of copies. Hash
-collisions in 1 and 2 only bring more text into a shard; matching is exact.
+Memory is bounded by the batch and the shard, never by a group of copies. Words
+are matched exactly; texts are told apart by 64-bit hashes, so what two texts alone
+share is missed if their hashes are equal (chance below 1e-9 for 100,000 texts).
 Null and empty texts have no words. A null id counts as larger than all others,
 and rows without an id do not remove each other's words. Rows with equal id and
 text get equal results; rows with equal ids never remove each other's words.
@@ -36,6 +37,7 @@ Extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import md5, sha256
 
 import numpy as np
@@ -47,6 +49,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WINDOW, ANCHOR = 13, 5
+#: One row in so many is looked at for anchors that are too frequent for one task.
+SEEN = 64
 _M = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -94,7 +98,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
             new = np.ones(len(doc), bool)
             new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(anchor[new].view(np.int64)), pa.array(row_key[lo:hi][doc[new]])], names=["anchor", "rk"]
+                [pa.array(anchor[new].view(np.int64)), pa.array(row_key[lo:hi][doc[new]])], names=["anchor", "tk"]
             )
 
 
@@ -331,7 +335,7 @@ def _last_pass(batches: Iterator[pa.RecordBatch], window: int, digest: bool) ->
         )
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, hot: int = 4096, shard_words: int = 200_000, digest: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, hot: int = 4096, shard_words: int = 200_000, digest: bool = False, often_rows: int = 1 << 20) -> DataFrame:
     """doc_id, n_words, n_removed and ``kept``: the words left, joined by a blank (or their SHA-256)."""
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -339,25 +343,37 @@ def dedup(docs: DataFrame, window: int = WINDOW, hot: int = 4096, shard_words: i
         F.col("doc_id").cast("long").alias("doc_id"), C.id_or_last(F.col("doc_id")).alias("id"), F.col("text").cast("string").alias("text")
     )
     rows = rows.withColumn("tk", F.xxhash64("text"))
-    # a short key of the text: two texts that share one by chance share their lists of anchors, no more
-    short = F.col("tk").bitwiseAND(F.lit((1 << 40) - 1))
-    anchors = rows.select(short.alias("rk"), "text").mapInArrow(lambda it: _anchor_rows(it, window), "anchor long, rk long")
+    def anchors_of(df: DataFrame) -> DataFrame:
+        return df.select("tk", "text").mapInArrow(lambda it: _anchor_rows(it, window), "anchor long, tk long")
+
+    # which anchors are folded before the shuffle is seen on a part of the rows; it decides on the way, not on the result
+    seen = rows.where(F.pmod(F.xxhash64("tk", "id"), F.lit(SEEN)) == 0)
+    often = C.stage(anchors_of(seen).groupBy("anchor").count().where(F.col("count") * SEEN > often_rows).select("anchor"), "substring-often")
+    anchors, shared = anchors_of(rows), []
+    listed = F.struct("anchor", (F.col("n") > hot).alias("hot"))
+    if not often.isEmpty():
+        # few: each stands for more than often_rows rows, so the joins are left to Spark to broadcast or split
+        folded = C.stage(
+            anchors.join(often, "anchor", "left_semi").groupBy("anchor")
+            .agg(F.count("*").alias("n"), F.min("tk").alias("least"), F.max("tk").alias("most")).where("least < most").select("anchor", "n"),
+            "substring-folded",
+        )
+        shared.append(anchors.join(folded, "anchor").select("tk", listed.alias("a")))
+        anchors = anchors.join(often, "anchor", "left_anti")
     # 16-byte rows; a window function spills and streams, it holds no group in memory
     same = Window.partitionBy("anchor")
-    shared = (
-        anchors.withColumns({"n": F.count("*").over(same), "least": F.min("rk").over(same), "most": F.max("rk").over(same)})
-        .where("least < most")
-        .groupBy("rk").agg(F.collect_set(F.struct("anchor", (F.col("n") > hot).alias("hot"))).alias("anchors"))  # at most a text's words
-    )
+    numbered = anchors.withColumns({"n": F.count("*").over(same), "least": F.min("tk").over(same), "most": F.max("tk").over(same)})
+    shared.append(numbered.where("least < most").select("tk", listed.alias("a")))
+    shared = reduce(DataFrame.unionByName, shared).groupBy("tk").agg(F.collect_set("a").alias("anchors"))  # at most a text's words
     # texts that several rows have, by hash and digest, with the smallest id
     firsts = (
         rows.where("text is not null").select("tk", F.struct("id", F.md5("text").alias("digest")).alias("row"))
         .groupBy("tk").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
-        .groupBy(short.alias("rk")).agg(F.collect_list("first").alias("firsts"))  # one, but for chance
+        .select("tk", F.array("first").alias("firsts"))
     )
-    known = C.stage(shared.join(firsts, "rk", "full"), "substring-known")
+    known = C.stage(shared.join(firsts, "tk", "full"), "substring-known")
     is_copy = F.exists("firsts", lambda f: (f["digest"] == F.md5("text")) & (f["id"] < F.col("id")))
-    joined = rows.withColumn("rk", short).join(known, "rk", "left").select(
+    joined = rows.join(known, "tk", "left").select(
         "doc_id", "id", "tk", "text", "anchors", F.coalesce(is_copy, F.lit(False)).alias("copy")
     )
     first = C.stage(
