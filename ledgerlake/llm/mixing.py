@@ -206,7 +206,8 @@ def _select(units: DataFrame, quota: DataFrame) -> DataFrame:
     second = F.shiftrightunsigned("h", 64 - 2 * BITS).bitwiseAND(F.lit((1 << BITS) - 1))
     one = boundary(units.join(quota, "sources"), first, "quota", ("b1", "rest1"))
     two = boundary(units.join(one, "sources").where(first == F.col("b1")), second, "rest1", ("b2", "rest2"))
-    edges = quota.join(one, "sources", "left").join(two, "sources", "left")
+    # staged, so that its size is known and only the rows at the edge are dealt by source
+    edges = C.stage(quota.join(one, "sources", "left").join(two, "sources", "left"), "mix-edges")
     placed = units.join(edges, "sources").withColumn("f", first).withColumn("s", second)
     at_edge = F.coalesce((F.col("f") == F.col("b1")) & (F.col("s") == F.col("b2")), F.lit(False))
     ahead = Window.partitionBy("sources").orderBy("h", *UNIT[:2], "size").rowsBetween(Window.unboundedPreceding, -1)
