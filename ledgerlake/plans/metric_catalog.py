@@ -16,6 +16,7 @@ from .. import reference_data as R
 from ..functions import scalars as S
 from ..operators import joins as J
 from ..operators import metrics as M
+from ..operators import parity as P
 from ..operators import rollup as RU
 from ..session import ensure_checkpoint_dir
 from ..sources import files as IO
@@ -277,6 +278,20 @@ def build():
         f"SELECT {SALES_COLS} FROM sales WHERE order_date BETWEEN DATE '{START}' AND DATE '{END}' AND region = '{REGIONS[1]}' "
         f"ORDER BY order_date, order_id LIMIT {R.PAGE_SIZE} OFFSET {2 * R.PAGE_SIZE}"
     )
+    def _page_jump(s, sf):
+        rows = M.filter_dimensions(M.filter_date_range(_sales(s, sf), START, END))
+        return P.page_at(rows, P.page_directory(rows), 25, R.PAGE_SIZE)
+
+    q["orders_page_jump"] = _page_jump
+    o["orders_page_jump"] = Q.with_sales() + (
+        f"SELECT {SALES_COLS} FROM sales WHERE order_date BETWEEN DATE '{START}' AND DATE '{END}' "
+        f"ORDER BY order_date, order_id LIMIT {R.PAGE_SIZE} OFFSET {24 * R.PAGE_SIZE}"
+    )
+    q["page_directory"] = lambda s, sf: P.page_directory(_sales(s, sf))
+    o["page_directory"] = Q.with_sales() + (
+        "SELECT order_date, count(*) AS rows, CAST(COALESCE(sum(count(*)) OVER (ORDER BY order_date NULLS FIRST "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM sales GROUP BY order_date"
+    )
     q["orders_page_after"] = lambda s, sf: M.orders_page_after(M.orders_listing(_sales(s, sf), START, END), START, "5")
     o["orders_page_after"] = Q.with_sales() + (
         f"SELECT {SALES_COLS} FROM sales WHERE order_date BETWEEN DATE '{START}' AND DATE '{END}' "

@@ -11,6 +11,7 @@ from .. import reference_data as R
 from ..functions import scalars as S
 from ..operators import audit as A
 from ..operators import cleaning as C
+from ..operators import parity as D
 from ..operators import validation as V
 from ..session import ensure_checkpoint_dir
 from ..sources import files as IO
@@ -413,5 +414,26 @@ def build():
     q["parity_diff"] = _parity_counts
     o["parity_diff"] = with_sales() + (
         "SELECT count(*) AS left_rows, count(*) AS right_rows, CAST(0 AS BIGINT) AS left_only, CAST(0 AS BIGINT) AS right_only FROM sales")
+    def _planted(s, sf):
+        # the order table against a copy with rows changed, dropped, repeated and added
+        orders = T.sales(s, sf).select("order_id", "order_date", "order_status", "region", "revenue_usd")
+        n = F.col("order_id").cast("long")
+        copy = orders.where(n % 389 != 0).withColumn("revenue_usd", F.when(n % 401 == 0, F.col("revenue_usd") + 1).otherwise(F.col("revenue_usd")))
+        copy = copy.withColumn("region", F.when(n % 409 != 0, F.col("region")))
+        return orders, copy.unionAll(copy.where(n % 419 == 0)).unionAll(copy.where(n % 421 == 0).withColumn("order_id", F.concat(F.lit("x"), "order_id")))
+
+    q["parity_digest_diff"] = lambda s, sf: D.digest_diff(*_planted(s, sf), ["order_id"])
+    planted = with_sales(
+        "a AS (SELECT order_id, order_date, order_status, region, revenue_usd, CAST(order_id AS BIGINT) AS k FROM sales)",
+        "kept AS (SELECT order_id, order_date, order_status, CASE WHEN k % 409 <> 0 THEN region END AS region, "
+        "CASE WHEN k % 401 = 0 THEN revenue_usd + 1 ELSE revenue_usd END AS revenue_usd, k FROM a WHERE k % 389 <> 0)",
+        "b AS (SELECT * FROM kept UNION ALL SELECT * FROM kept WHERE k % 419 = 0 "
+        "UNION ALL SELECT 'x' || order_id, order_date, order_status, region, revenue_usd, k FROM kept WHERE k % 421 = 0)",
+    )
+    cols = "order_id, order_date, order_status, region, revenue_usd"
+    o["parity_digest_diff"] = planted + (
+        f"SELECT *, 'left_only' AS side FROM (SELECT {cols} FROM a EXCEPT ALL SELECT {cols} FROM b) "
+        f"UNION ALL SELECT *, 'right_only' AS side FROM (SELECT {cols} FROM b EXCEPT ALL SELECT {cols} FROM a)"
+    )
     o["source_parity"] = "SELECT CAST(NULL AS VARCHAR) AS order_id, CAST(NULL AS VARCHAR) AS side WHERE FALSE"
     return q, o
