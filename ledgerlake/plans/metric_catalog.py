@@ -7,6 +7,7 @@ query runs over the whole tables.
 from __future__ import annotations
 
 import datetime as dt
+import os
 import uuid
 from dataclasses import replace
 
@@ -18,6 +19,7 @@ from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import parity as P
 from ..operators import rollup as RU
+from ..operators import search as X
 from ..session import ensure_checkpoint_dir
 from ..sources import files as IO
 from ..sources import tables as T
@@ -236,6 +238,16 @@ def build():
     o["distinct_dims"] = Q.with_sales() + "SELECT DISTINCT region, region_group FROM sales"
 
     # F4 customer search (limit is the feature: a search box answer)
+    def _search_indexed(s, sf):
+        path = os.path.join(ensure_checkpoint_dir(s), f"customer-index-{uuid.uuid4().hex}")
+        X.write_search_index(_sales(s, sf), path)
+        return X.search_indexed(s, path, "R#0000001")
+
+    q["customer_search_indexed"] = _search_indexed
+    o["customer_search_indexed"] = Q.with_sales() + (
+        "SELECT DISTINCT customer_id, customer_name FROM sales WHERE contains(lower(customer_name), 'r#0000001') "
+        f"ORDER BY customer_name, customer_id LIMIT {R.SEARCH_LIMIT}"
+    )
     q["customer_search"] = lambda s, sf: M.customer_search(_sales(s, sf), "#00000012")
     o["customer_search"] = Q.with_sales() + (
         "SELECT DISTINCT customer_id, customer_name FROM sales WHERE customer_name ILIKE '%#00000012%' "
