@@ -273,7 +273,7 @@ def mix_units(rows: DataFrame, weights: DataFrame | None = None, share: Fraction
         quota = C.stage(quota.join(spent, "sources", "left").select("sources", (F.col("quota") - F.coalesce("spent", F.lit(0))).alias("quota")).where("quota > 0"), "mix-quota")
         open_ = done.join(quota, "sources").where("n > m and size <= quota").select(*UNIT, (F.col("n") - F.col("m")).alias("n"), "h")
     taken = got.groupBy(*UNIT).agg(F.sum("n").alias("n"), F.sum("m").alias("extra"))
-    out = C.stage(taken.join(flows.select("sources", "times"), "sources", "left").select(*UNIT, "n", F.coalesce("times", F.lit(0)).alias("times"), "extra"), "mix-taken")
+    out = C.stage(taken.join(flows.select("sources", "times"), "sources", "left").select(*UNIT, "n", F.when(F.col("size") > 0, F.coalesce("times", F.lit(0))).otherwise(F.lit(0).cast("long")).alias("times"), "extra"), "mix-taken")
     keep += C.staged()[-1:]
     C.drop_staged(spark, [p for p in C.staged() if p not in old and p not in keep])
     return out, sources.select("source", "source_size", "target")

@@ -72,3 +72,11 @@ def test_stage_keeps_columns_of_clashing_names(spark):
     assert out.columns == df.columns
     got = Counter(tuple(r) for r in out.collect())
     assert set(got) <= set(rows) and 15 <= sum(got.values()) <= 17  # 33 words, 150 % of them are asked for
+
+
+def test_empty_texts_are_taken_no_times(spark):
+    rows = [(i, t, "a") for i, t in enumerate(["", None, " \n", "one", "two words", "", None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    units, _ = mixing.mix_units(mixing.sized(df))
+    assert all(u.times == u.extra == 0 for u in units.collect() if u.size == 0)
+    assert {r.doc_id for r in mixing.mix_stage(spark, df, "").collect()} <= {3, 4}
