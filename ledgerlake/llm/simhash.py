@@ -11,9 +11,10 @@ tiles. To keep that linear in the corpus, fingerprints meet in a tile only if
 they can be close: cut into ``radius + 1`` bands, two close fingerprints agree
 in one band, and their population counts differ by at most the radius. So a
 tile cell is (band, band value, population count); a cell is compared with
-itself and the next ``radius`` counts, all other tile pairs are skipped. Inside
-a cell numpy compares blocks of ``tile`` rows, and passes on one link per row
-to its class in the cell instead of all pairs.
+itself and the next ``radius`` counts, all other tile pairs are skipped. A cell
+of many fingerprints is dealt as pairs of chunks to tasks of their own. Inside
+a tile numpy compares blocks of ``tile`` rows, and passes on one link per row
+to its class there instead of all pairs.
 
 The components come from alternating large-star and small-star steps on staged
 tables; nothing is collected. Null ids count as the largest id: a class's id
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -71,27 +72,55 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     ).mapInArrow(rows, "doc_id long, tk long, fp long")
 
 
-def _links_in_cell(a: np.ndarray, ida: np.ndarray, b: np.ndarray, idb: np.ndarray, radius: int, tile: int, parent: dict) -> None:
-    """Join in ``parent`` the ids of close pairs of a x b, tile by tile."""
+def _roots(parent: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    found = parent[rows]
+    while True:
+        above = parent[found]
+        if (above == found).all():
+            return found
+        found = above
+
+
+def _join_close(bits: np.ndarray, left: np.ndarray, right: np.ndarray, parent: np.ndarray, radius: int, tile: int) -> None:
+    """Join in ``parent`` the rows of ``left`` and ``right`` that are close, tile by tile.
+
+    In each round every row of the tile with a close row in another class takes one
+    such link, so the rounds are few and no pair is looped over.
+    """
 
     def find(x: int) -> int:
-        while parent.get(x, x) != x:
-            parent[x] = x = parent.get(parent[x], parent[x])
+        while parent[x] != x:
+            x = int(parent[x])
         return x
 
-    for i in range(0, len(a), tile):
-        for j in range(i if a is b else 0, len(b), tile):
-            close = np.bitwise_count(a[i : i + tile, None] ^ b[None, j : j + tile]) <= radius
-            if a is b and i == j:
+    for i in range(0, len(left), tile):
+        a = left[i : i + tile]
+        for j in range(i if left is right else 0, len(right), tile):
+            b = right[j : j + tile]
+            close = np.bitwise_count(bits[a, None] ^ bits[None, b]) <= radius
+            if left is right and i == j:
                 close = np.triu(close, 1)
-            for x, y in zip(*np.nonzero(close)):
-                p, q = find(int(ida[i + x])), find(int(idb[j + y]))
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
+            while close.any():
+                ra, rb = _roots(parent, a), _roots(parent, b)
+                close &= ra[:, None] != rb[None, :]
+                col = np.flatnonzero(close.any(axis=0))
+                for x, y in zip(ra[close[:, col].argmax(axis=0)].tolist(), rb[col].tolist()):
+                    p, q = find(x), find(y)
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+
+
+#: First side of a tile, compared with itself and the second; second side; first side, compared with the second only.
+WITHIN, SECOND, FIRST = 0, 1, 2
+
 
+def tiles(distinct: DataFrame, radius: int = 2, most: int = 16_384) -> DataFrame:
+    """fp, rep, the tile (band, part, cell, tile) that a fingerprint goes to, and its side there.
 
-def links(distinct: DataFrame, radius: int = 2, tile: int = 1024) -> DataFrame:
-    """Spanning links (u, v), v < u, of the close fingerprints; ``distinct`` has fp and rep."""
+    A cell whose counts all have at most ``most`` fingerprints is one tile (-1). In the
+    others each count is dealt into chunks of about ``most``, and every pair of chunks
+    is a tile of its own: one hot cell is the work of many tasks, and no task holds it.
+    """
     bands = radius + 1
     width = [64 // bands + (i < 64 % bands) for i in range(bands)]
     low = [sum(width[:i]) for i in range(bands)]
@@ -99,69 +128,80 @@ def links(distinct: DataFrame, radius: int = 2, tile: int = 1024) -> DataFrame:
         F.struct(F.lit(i).cast("int").alias("band"), F.shiftrightunsigned("fp", low[i]).bitwiseAND(F.lit((1 << width[i]) - 1)).alias("part"))
         for i in range(bands)
     ])
-    cells = (
-        distinct.select("fp", "rep", F.bit_count("fp").alias("pop"), F.explode(keys).alias("k"))
-        .select("fp", "rep", "pop", "k.*")
-        .select("fp", "rep", "pop", "band", "part", F.explode(F.sequence(F.col("pop") - radius, F.col("pop"))).alias("cell"))
-        .where("cell >= 0")
-    )
-    spark = distinct.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    banded = distinct.select("fp", "rep", F.bit_count("fp").alias("pop"), F.explode(keys).alias("k")).select("fp", "rep", "pop", "k.*")
+    in_cells = F.explode(F.sequence(F.col("pop") - radius, F.col("pop"))).alias("cell")
+    cells = banded.select("fp", "rep", "pop", "band", "part", in_cells).where("cell >= 0")
+    own = F.col("pop") == F.col("cell")
+    whole = F.array(F.struct(F.lit(-1).cast("long").alias("tile"), F.when(own, WITHIN).otherwise(SECOND).alias("side")))
+
+    sizes = banded.groupBy("band", "part", "pop").agg(F.count("*").alias("n")).where(F.col("n") > most)
+    chunks = [F.coalesce(F.max(F.when(F.col("pop") - F.col("cell") == d, F.ceil(F.col("n") / most))), F.lit(1)) for d in range(bands)]
+    hot = C.stage(sizes.select("band", "part", "pop", "n", in_cells).groupBy("band", "part", "cell").agg(F.array(*chunks).alias("chunks")), "simhash-hot")
+    if hot.isEmpty():
+        dealt = cells.withColumn("to", whole)
+    else:
+        offset = F.col("pop") - F.col("cell")
+        mine = F.pmod(F.xxhash64("fp"), F.element_at("chunks", offset + 1))
+
+        def pair(i, d, j, side) -> Column:
+            return F.struct(((i * bands + d) * (1 << 30) + j).cast("long").alias("tile"), side.cast("int").alias("side"))
+
+        def each(d: int, use) -> Column:
+            return F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks")[d] - 1), use)
+
+        side = lambda j: F.when(j == mine, WITHIN).when(mine < j, FIRST).otherwise(SECOND)
+        of_own = F.concat(
+            each(0, lambda j: pair(F.least(mine, j), F.lit(0), F.greatest(mine, j), side(j))),
+            *[each(d, lambda j, d=d: pair(mine, F.lit(d), j, F.lit(FIRST))) for d in range(1, bands)],
+        )
+        of_other = each(0, lambda i: pair(i, offset, mine, F.lit(SECOND)))
+        split = F.when(F.col("chunks").isNull(), whole).when(own, of_own).otherwise(of_other)
+        dealt = cells.join(hot, ["band", "part", "cell"], "left").withColumn("to", split)
+    return dealt.select("fp", "rep", "band", "part", "cell", F.explode("to").alias("to")).select("fp", "rep", "band", "part", "cell", "to.*")
+
+
+def links(distinct: DataFrame, radius: int = 2, tile: int = 1024, most: int = 16_384) -> DataFrame:
+    """Spanning links (u, v) of the close fingerprints; ``distinct`` has fp and rep."""
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def compare(rows: np.ndarray) -> list[tuple[int, int]]:
+        """Links among the rows of one tile."""
+        bits, rep, side = np.ascontiguousarray(rows[0]).view(np.uint64), rows[1], rows[-1]
+        parent = np.arange(len(rep))
+        first, second = np.flatnonzero(side != SECOND), np.flatnonzero(side == SECOND)
+        if len(first) and side[first[0]] == WITHIN:
+            _join_close(bits, first, first, parent, radius, tile)
+        if len(first) and len(second):
+            _join_close(bits, first, second, parent, radius, tile)
+        moved = np.flatnonzero(parent != np.arange(len(rep)))
+        return list(zip(rep[moved].tolist(), rep[_roots(parent, moved)].tolist())) if len(moved) else []
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come sorted by cell: each cell is compared when it is complete
+        # rows come sorted by tile: each is compared when it is complete
         held: list[np.ndarray] = []
+        fresh = 0
 
-        def compare(parts: list[np.ndarray], last: bool) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
-            all_ = np.concatenate(parts, axis=1)
-            edge = np.flatnonzero((np.diff(all_[2:], axis=1) != 0).any(axis=0)) + 1
+        def done(last: bool) -> pa.RecordBatch:
+            nonlocal held, fresh
+            all_ = np.concatenate(held, axis=1)
+            edge = np.flatnonzero((np.diff(all_[2:-1], axis=1) != 0).any(axis=0)) + 1
             cuts = [0, *edge.tolist(), all_.shape[1]]
             pairs = list(zip(cuts, cuts[1:]))
-            keep = [] if last else [all_[:, pairs[-1][0] :].copy()]
-            parent: dict[int, int] = {}
-            found = []
-            for lo, hi in pairs if last else pairs[:-1]:
-                if hi - lo < 2:
-                    continue
-                fp, rep, _, _, cell = all_[:, lo:hi]
-                bits = fp.view(np.uint64) if fp.flags.c_contiguous else np.ascontiguousarray(fp).view(np.uint64)
-                own = np.bitwise_count(bits).astype(np.int64) == cell
-                parent.clear()
-                a, ia = bits[own], rep[own]
-                _links_in_cell(a, ia, a, ia, radius, tile, parent)
-                if len(a) and not own.all():
-                    _links_in_cell(a, ia, bits[~own], rep[~own], radius, tile, parent)
-                for x in list(parent):
-                    r = parent[x]
-                    while parent.get(r, r) != r:
-                        r = parent[r]
-                    if r != x:
-                        found.append((x, r))
-            return found, keep
-
-        def out(found):
-            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["u", "v"])
-
-        size = 0
+            held, fresh = [] if last else [all_[:, cuts[-2] :].copy()], 0
+            found = [link for lo, hi in (pairs if last else pairs[:-1]) if hi - lo > 1 for link in compare(all_[:, lo:hi])]
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(2)], names=["u", "v"])
+
         for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(np.stack([b.column(i).cast(pa.int64()).to_numpy(zero_copy_only=False) for i in range(5)]))
-            size += b.num_rows
-            if size >= 50_000:
-                found, held = compare(held, False)
-                size = sum(x.shape[1] for x in held)
-                yield out(found)
+            if b.num_rows:
+                held.append(np.stack([c.cast(pa.int64()).to_numpy(zero_copy_only=False) for c in b.columns]))
+                fresh += b.num_rows
+            if fresh >= 50_000:
+                yield done(False)
         if held:
-            yield out(compare(held, True)[0])
-
-    return (
-        cells.select("fp", "rep", "band", "part", "cell")
-        .repartition(n, "band", "part", "cell")
-        .sortWithinPartitions("band", "part", "cell")
-        .mapInArrow(rows, "u long, v long")
-        .distinct()
-    )
+            yield done(True)
+
+    key = ("band", "part", "cell", "tile")
+    return tiles(distinct, radius, most).repartition(n, *key).sortWithinPartitions(*key).mapInArrow(rows, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
