@@ -15,10 +15,11 @@ mean over so many words. A text outside a band of its language is rejected.
 
 Two passes over narrow rows: the first reads every whole text once and is
 staged as numbers and a 128-bit hash of the text; copies are folded by that hash
-(combined map-side) and the bands are one map-side combined aggregate (quantile
-sketches) with one row per language, joined back by language. A language with
-fewer than ``min_texts`` distinct texts takes the band of all texts together, as
-do texts without a language. Null and empty texts have no words, fail the base
+(combined map-side) and counted by cell of a fine grid, and the quartiles are read
+off those counts, so no task sorts texts and reruns agree. A language of n distinct
+texts takes its own band by n / (n + ``prior``) and the band of all texts by the
+rest, so a small language has hardly a band of its own and no size is a switch.
+Texts without a language take the band of all. Null and empty texts have no words, fail the base
 rule and are not kept. Repeated rows get equal results. A word's tokens depend
 on the word alone, so they are kept in a bounded cache; long texts are whole.
 """
@@ -33,7 +34,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -41,6 +42,8 @@ from . import common as C
 FILE = "piece_bpe_32k.model"
 MAX_WORDS = 300_000
 SYMBOLS = b"#*$%&|<>"
+#: Steps to one in which quartiles are told apart, far finer than the least widths of the bands.
+GRID = 1000
 _NOT_COUNTED = bytes([0x20, *range(0x09, 0x0E), *range(0x80, 0xC0)])  # spaces and UTF-8 continuation bytes
 MEASURES = ("chars_per_token", "byte_share", "entropy")
 #: A band's least width beyond a quartile, as (a constant, a share of the median):
@@ -146,35 +149,49 @@ def measure(docs: DataFrame, path: str | None = None) -> DataFrame:
     ).mapInArrow(rows, f"doc_id long, lang string, {kinds}, text_hash binary")
 
 
-def judge(measured: DataFrame, min_words: int = 50, repeat_percent: int = 50, width: float = 3.0, least: dict = LEAST, noise: float = 0.5, min_texts: int = 50) -> DataFrame:
+def quartiles(sound: DataFrame, *key: str) -> DataFrame:
+    """Per ``key``: n, the number of distinct texts, and each measure's quartiles over them.
+
+    The quartiles are exact on a grid of 1 / GRID: counts by grid cell are summed
+    map-side, and what is sorted per key is one row for each cell, not for each text.
+    The result does not depend on the order in which tasks end.
+    """
+    texts = sound.groupBy(*key, "text_hash").agg(*[F.min(m).alias(m) for m in MEASURES])  # equal in all copies
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.floor(F.col(m) * GRID).alias("cell")) for m in MEASURES]))
+    cells = texts.select(*key, each.alias("c")).groupBy(*key, "c.measure", "c.cell").agg(F.count("*").alias("k"))
+    of = Window.partitionBy(*key, "measure")
+    ranked = cells.select(*key, "measure", "cell", F.sum("k").over(of).alias("n"), F.sum("k").over(of.orderBy("cell")).alias("upto"))
+    found = lambda m, q: F.min(F.when((F.col("measure") == m) & (4 * F.col("upto") >= q * F.col("n")), F.col("cell"))) / GRID
+    return ranked.groupBy(*key).agg(F.max("n").alias("n"), *[F.array(*[found(m, q) for q in (1, 2, 3)]).alias(m) for m in MEASURES])
+
+
+def judge(measured: DataFrame, min_words: int = 50, repeat_percent: int = 50, width: float = 3.0, least: dict = LEAST, noise: float = 0.5, prior: int = 50) -> DataFrame:
     """``measured`` with base_failed and kept."""
     rows = measured.withColumn(
         "base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
     )
     sound = rows.where(~F.col("base_failed"))
-    quantiles = [F.percentile_approx(m, [0.25, 0.5, 0.75], 10_000).alias(m) for m in MEASURES]
-
-    def distinct(*key: str) -> DataFrame:
-        return sound.groupBy(*key, "text_hash").agg(*[F.min(m).alias(m) for m in MEASURES])  # equal in all copies
-
-    by_lang = distinct("lang").where("lang is not null").groupBy("lang").agg(F.count("*").alias("n"), *quantiles).where(F.col("n") >= min_texts).drop("n")
 
-    def band(b: DataFrame, prefix: str) -> list:
+    def bands(quartiles: DataFrame) -> list[Column]:
         out = []
         for m in MEASURES:
             q1, q2, q3 = F.col(m)[0], F.col(m)[1], F.col(m)[2]
             beyond = F.greatest(width * (q3 - q1), F.lit(least[m][0]) + least[m][1] * q2)
-            out += [(q1 - beyond).alias(f"{prefix}{m}_low"), (q3 + beyond).alias(f"{prefix}{m}_high")]
+            out += [(q1 - beyond).alias(f"_{m}_low"), (q3 + beyond).alias(f"_{m}_high")]
         return out
 
-    own = C.stage(by_lang.select(F.col("lang").alias("_lang"), *band(by_lang, "_own_")), "fertility-bands")
-    whole = distinct().agg(*quantiles)
-    limits = whole.select(*band(whole, "")).first().asDict()  # one row of six numbers
+    by_lang = quartiles(sound.where("lang is not null"), "lang")
+    own = C.stage(by_lang.select(F.col("lang").alias("_lang"), (F.col("n") / (F.col("n") + prior)).alias("_weight"), *bands(by_lang)), "fertility-bands")
+    whole = quartiles(sound.withColumn("_all", F.lit(0)), "_all")
+    limits = (whole.select(*bands(whole)).first() or {f"_{m}_{x}": None for m in MEASURES for x in ("low", "high")})  # one row of six numbers
     joined = rows.join(own, rows.lang == own._lang, "left")
     inside, more = F.lit(True), noise / F.sqrt(F.greatest("n_words", F.lit(1)))
+    weight = F.coalesce("_weight", F.lit(0.0))
     for m in MEASURES:
-        low, high = limits[f"{m}_low"], limits[f"{m}_high"]
-        inside = inside & (F.col(m) >= F.coalesce(f"_own_{m}_low", F.lit(low)) - more) & (F.col(m) <= F.coalesce(f"_own_{m}_high", F.lit(high)) + more)
+        low, high = [
+            weight * F.coalesce(f"_{m}_{x}", F.lit(0.0)) + (1 - weight) * F.lit(limits[f"_{m}_{x}"]).cast("double") for x in ("low", "high")
+        ]
+        inside = inside & (F.col(m) >= low - more) & (F.col(m) <= high + more)
     return joined.select(*rows.columns, (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"))
 
 
