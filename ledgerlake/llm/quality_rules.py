@@ -165,7 +165,7 @@ def quartiles(sound: DataFrame, *key: str) -> DataFrame:
     return ranked.groupBy(*key).agg(F.max("n").alias("n"), *[F.array(*[found(m, q) for q in (1, 2, 3)]).alias(m) for m in MEASURES])
 
 
-def judge(measured: DataFrame, min_words: int = 50, repeat_percent: int = 50, width: float = 3.0, least: dict = LEAST, noise: float = 0.5, prior: int = 50) -> DataFrame:
+def judge(measured: DataFrame, min_words: int = 50, repeat_percent: int = 50, width: float = 3.0, least: dict = LEAST, noise: float = 0.5, prior: int = 10) -> DataFrame:
     """``measured`` with base_failed and kept."""
     rows = measured.withColumn(
         "base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))

@@ -56,7 +56,7 @@ def test_verdicts(spark, data):
         assert not any(r.kept for r in rows)
         return
     for r in rows:
-        weight = len(texts[r.lang]) / (len(texts[r.lang]) + 50) if r.lang in texts else 0.0
+        weight = len(texts[r.lang]) / (len(texts[r.lang]) + 10) if r.lang in texts else 0.0
         inside = True
         for i, m in enumerate(Q.MEASURES):
             own, whole = bands.get(r.lang, bands["*"])[i], bands["*"][i]
