@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import cache
 
-from ..session import apply_sql_defaults
+from ..session import apply_sql_defaults, drop_unread, staged_tables
 from . import metric_catalog, pipeline_catalog
 
 
@@ -21,7 +21,8 @@ def _build():
 def _with_defaults(fn):
     def run(spark, sf_dir):
         apply_sql_defaults(spark)
-        return fn(spark, sf_dir)
+        before = staged_tables()
+        return drop_unread(fn(spark, sf_dir), before)
 
     run.__name__ = getattr(fn, "__name__", "query")
     return run

@@ -196,6 +196,28 @@ def build():
     q["profit_by_category"] = lambda s, sf: M.metric_breakdown(_sales(s, sf), _req("profit_total_usd"), "category")
     o["profit_by_category"] = _breakdown_sql("profit_total_usd", "category")
 
+    # A7, A8, A13 by product, on the line grain
+    def by_line(sql):
+        return Q.with_sales_lines() + sql[len(Q.with_sales()):]
+
+    q["sales_lines"] = lambda s, sf: T.sales_lines(s, sf).drop("customer_name")
+    o["sales_lines"] = Q.with_sales_lines() + "SELECT * FROM sales"
+    q["revenue_by_product"] = lambda s, sf: M.metric_breakdown(T.sales_lines(s, sf), REQ, "product")
+    o["revenue_by_product"] = by_line(_breakdown_sql("revenue_total_usd", "product"))
+    q["margin_by_product"] = lambda s, sf: M.metric_breakdown(T.sales_lines(s, sf), _req("profit_margin_pct"), "product")
+    o["margin_by_product"] = by_line(_breakdown_sql("profit_margin_pct", "product"))
+    q["growth_by_product"] = lambda s, sf: M.growth_breakdown(T.sales_lines(s, sf), _req("revenue_growth_pct", region=REGIONS), "product")
+    o["growth_by_product"] = Q.with_sales_lines() + (
+        f"SELECT key, {Q.growth('cur_value', 'prev_value')} AS value FROM ({_period_totals_sql('product', REGIONS)})"
+    )
+    q["metric_query_product"] = lambda s, sf: M.metric_query_rows(T.sales_lines(s, sf), _req("revenue_total_usd", group_by="product"))
+    pcmp, pseries, pbreak = (x[len(Q.with_sales()):] for x in (
+        _comparison_sql("revenue_total_usd"), _series_sql("revenue_total_usd", "month"), _breakdown_sql("revenue_total_usd", "product")))
+    o["metric_query_product"] = Q.with_sales_lines() + " UNION ALL ".join(
+        [f"SELECT '{c}' AS part, CAST(NULL AS VARCHAR) AS key, {c} AS value FROM ({pcmp})" for c in ("value", "comparison_value", "delta", "delta_pct")]
+        + [f"SELECT 'series', period_start, value FROM ({pseries})", f"SELECT 'breakdown', key, value FROM ({pbreak})"]
+    )
+
     # A8 growth breakdown; J2 the outer-joined period totals behind it
     q["growth_breakdown"] = lambda s, sf: M.growth_breakdown(_sales(s, sf), _req("revenue_growth_pct"), "region")
     o["growth_breakdown"] = Q.with_sales() + (

@@ -104,6 +104,25 @@ def with_sales(*ctes: str) -> str:
     return "WITH " + ",\n".join([NATION_DIM, ORDER_COSTS, SALES, *ctes]) + "\n"
 
 
+#: Line-grain sales under the name of the order-grain table, so that metric SQL reads it unchanged.
+SALES_LINES = f"""lines AS (
+  SELECT CAST(l.l_orderkey AS VARCHAR) AS order_id, l.l_linenumber AS line_number, CAST(o.o_orderdate AS DATE) AS order_date,
+         {case_map('o.o_orderstatus', T.FIXTURE_STATUS)} AS order_status, CAST(c.c_custkey AS VARCHAR) AS customer_id,
+         nd.region, nd.region_group, nd.country, c.c_mktsegment AS category, p.p_name AS product,
+         CAST(CAST(l.l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l.l_discount AS DECIMAL(4,2))) AS DOUBLE) AS revenue_usd,
+         CAST(CAST(l.l_quantity AS DECIMAL(18,2)) * CAST(p.p_retailprice AS DECIMAL(18,2)) AS DOUBLE) AS cost_usd
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey JOIN orders o ON l.l_orderkey = o.o_orderkey
+  JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation_dim nd ON c.c_nationkey = nd.n_nationkey
+), sales AS (
+  SELECT *, CASE WHEN order_status = 'COMPLETED' THEN revenue_usd - cost_usd END AS profit_usd,
+         CASE WHEN order_status = 'COMPLETED' THEN (revenue_usd - cost_usd) / NULLIF(revenue_usd, 0) * 100.0 END AS margin_pct FROM lines
+)"""
+
+
+def with_sales_lines() -> str:
+    return "WITH " + ",\n".join([NATION_DIM, SALES_LINES]) + "\n"
+
+
 def bucket(expr: str, grain: str) -> str:
     fmt = {"day": "%Y-%m-%d", "week": "%Y-%W", "month": "%Y-%m-01"}[grain]
     return f"strftime({expr}, '{fmt}')"

@@ -86,6 +86,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+#: Staged tables of this process that nobody has dropped.
+_STAGED: list[str] = []
+
+
+def staged_tables() -> list[str]:
+    return list(_STAGED)
+
+
 def materialize(df: DataFrame, name: str, written: list[str] | None = None) -> DataFrame:
     """Cut lineage by writing ``df`` as Parquet under the shared checkpoint folder.
 
@@ -95,6 +103,7 @@ def materialize(df: DataFrame, name: str, written: list[str] | None = None) -> D
     """
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _STAGED.append(path)
     df.write.mode("overwrite").parquet(path)
     if written is not None:
         written.append(path)
@@ -106,3 +115,16 @@ def drop_tables(spark: SparkSession, paths: list[str]) -> None:
     for p in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(p)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if p in _STAGED:
+            _STAGED.remove(p)
+
+
+def drop_unread(result: DataFrame, before: list[str]) -> DataFrame:
+    """``result``, after deleting the staged tables written since ``before`` that it does
+    not read. Those that it reads stay until the caller has used it, and then go with
+    ``drop_tables(spark, staged_tables())``."""
+    new = [p for p in _STAGED if p not in before]
+    if new:
+        read = {folder for f in result.inputFiles() for folder in f.split("/")}
+        drop_tables(result.sparkSession, [p for p in new if os.path.basename(p) not in read])
+    return result
