@@ -64,3 +64,34 @@ def test_row_numbers_are_unique(spark, raw):
     want = C.standardize(raw)
     assert _sorted(C.restore(rows, names).select(*want.columns)) == _sorted(want)
     assert rows.where(F.col(C.MISSING)).count() == 3
+
+
+def _placed(spark, rows):
+    """(position, order id, fullness) -> staged rows, numbered from 0."""
+    return spark.createDataFrame([(p, (k,), s, i) for i, (p, k, s) in enumerate(rows)], f"{C.SOURCE_POS} string, {C.RAW} struct<order_id:string>, {C.SCORE} int, {C.ROW} long")
+
+
+def _kept(rows):
+    return sorted(r[C.ROW] for r in C.kept_rows(rows).collect())
+
+
+def test_winners_need_one_shuffle_where_positions_are_unique(spark):
+    rows = _placed(spark, [("a", "K", 3), ("b", "K", 5), ("c", "K", 5), ("d", "L", 1), ("e", None, 9), (None, "M", 2), (None, None, 1)])
+    plan = C.kept_rows(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("hashpartitioning") == 1
+    assert _kept(rows) == [1, 3]  # the fullest, then the first; a winner without a position is not found
+
+
+def test_every_row_at_a_winners_position_stays(spark):
+    rows = _placed(spark, [("a", "K", 5), ("a", "K", 5), ("a", "K", 2), ("a", "L", 1), ("b", "L", 4), ("a", None, 1), ("c", "N", 1), ("c", "N", 1), ("d", "K", 9), ("d", "O", 1)])
+    by_position = C.dedup_winners(rows.select(F.col(f"{C.RAW}.order_id").alias("order_id"), C.SOURCE_POS, C.SCORE).where("order_id IS NOT NULL"))
+    want = rows.join(by_position, F.col(C.SOURCE_POS) == F.col("_keep_pos"), "left_semi")
+    assert _kept(rows) == sorted(r[C.ROW] for r in want.collect()) == [4, 6, 7, 8, 9]
+
+
+def test_only_rows_that_pass_the_duplicates_get_a_name(spark, raw):
+    for res in (PL.run(raw, checkpoint=True), PL.run(raw)):
+        named = F.col("customer_name").isNotNull() & F.col("customer_type").isNotNull()
+        survivor = F.col("stage").isNull() | (F.col("stage") == "VALIDATE")
+        assert res.audited.where(survivor & ~named).count() == 0 and res.audited.where(~survivor & named).count() == 0
+        res.close()
