@@ -34,6 +34,20 @@ def test_the_observed_report_equals_the_counted_one(spark, ran):
     res.close()
 
 
+def test_gold_and_log_are_compressed_and_read_back_whole(spark, ran, monkeypatch, tmp_path):
+    from pathlib import Path
+
+    res = PL.run(T.raw_sales(spark, SF_SMALL), checkpoint=True)
+    for path in (ran.gold, ran.error_log):
+        assert {f.suffix for f in Path(path).glob("part-*")} == {".gz"}
+    log = IO.read_csv_typed(spark, ran.error_log, res.error_log.schema).drop("source_pos")
+    assert log.count() == res.error_log.count() and log.exceptAll(res.error_log.drop("source_pos")).isEmpty()
+    monkeypatch.setattr(IO, "GZIP_ROWS", 100)  # such files are not split: many small ones
+    IO.write_gold(res.gold.coalesce(1), f"{tmp_path}/gold")
+    assert len(list((tmp_path / "gold").glob("part-*"))) == -(-res.gold.count() // 100)
+    res.close()
+
+
 def test_report_file_has_all_sections(spark, ran):
     report = json.loads(spark.read.text(ran.report_json).first().value)
     flat = ran.report.first()
