@@ -1,6 +1,7 @@
 """CSV records against the csv module: breaks in quoted fields, cut at many split sizes."""
 
 import csv
+import gzip
 import io
 
 import pytest
@@ -94,3 +95,40 @@ def test_states_of_a_line_follow_the_csv_module(line, inside):
     records = list(csv.reader(io.StringIO(head + line.replace("\r", "r") + "\nNEXT\n", newline="")))
     joined = any("\nNEXT" in f for r in records for f in r)
     assert R.line_states(line.replace("\r", "r"))[inside] == joined
+
+
+def zipped(path, text):
+    path.write_bytes(gzip.compress(text.encode()))
+    return str(path)
+
+
+def test_gzip_files_equal_the_csv_module_without_staged_lines(spark, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # records go on in the next batch
+    try:
+        tail = '10,5" pipe,"closed"then more\n11,"" odd,short\n12,z\n13,"""",""\n14,"x",\r\n'
+        texts = [HEADER + "\n" + rendered(AWKWARD) + "\n\n" + rendered(AWKWARD[::-1], "\r\n") + tail, '"OrderID",Region,Note\r\n' + rendered(AWKWARD * 3), HEADER, ""]
+        paths = [zipped(tmp_path / f"{n}.csv.gz", ("﻿" if n == "b" else "") + t) for n, t in zip("badc", texts)]
+        want = [r for k in (1, 0, 3, 2) for r in [r for r in csv.reader(io.StringIO(texts[k], newline="")) if r][1:]]
+        written = []
+        rows, header = R.read_records(spark, paths, written)
+        got = [(r.row, r.fields) for r in sorted(rows.collect(), key=lambda r: r.row)]
+        assert header == HEADER.split(",") and got == list(enumerate(want))
+        assert len(written) == 1 and spark.read.parquet(written[0]).columns == ["file", "n"]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_gzip_rows_with_a_position_of_their_own_are_not_counted(spark, tmp_path):
+    path, written = zipped(tmp_path / "raw.csv.gz", 'OrderID,_source_pos\n1,"a,1"\n2,b\n'), []
+    assert {tuple(r) for r in IO.read_raw_sales(spark, path, written).collect()} == {("1", "a,1"), ("2", "b")} and not written
+
+
+@pytest.mark.parametrize("bodies, says", [
+    (["1,a,b,c\n"], "more than 3 fields"), (['1,"a,b\n2,c,d\n'], "never closed"), (['1,"a\nb",c,\n'], "more than 3 fields"),
+    (['1,"a,b\n', "2,c,d\n"], "never closed"), (["1,2,3\n", "4,5,6\nOrderID,Note,Region"], "headers differ"),
+])
+def test_bad_gzip_files_fail_the_read(spark, tmp_path, bodies, says):
+    heads = [HEADER, "OrderID,Note,Region" if says == "headers differ" else HEADER]
+    paths = [zipped(tmp_path / f"{i}.csv.gz", f"{h}\n{b}") for i, (h, b) in enumerate(zip(heads, bodies))]
+    with pytest.raises(Exception, match=says):
+        IO.read_raw_sales(spark, paths).collect()
