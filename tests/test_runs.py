@@ -1,10 +1,12 @@
 """From a raw file to gold, log and report; warehouse months and the rollup after an append."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerlake import reference_data as R
 from ledgerlake.operators import audit as A
 from ledgerlake.operators import metrics as M
 from ledgerlake.operators import rollup as RU
@@ -62,6 +64,18 @@ def test_unknown_reasons_are_left_to_a_scan(spark):
     assert counters["reason:UNKNOWN_CURRENCY"] == 2 and A.observed_report(spark, {"n": 2}, {"n": 0}, counters) is None
 
 
+def test_counters_equal_patterns_and_need_none(spark):
+    codes = [*A.reason_codes(), "NULL_X", "DISCREPANCY", "NO CODE", ""]
+    log = spark.createDataFrame([("CRITICAL", "; ".join(c)) for i in range(len(codes)) for c in ([codes[i]], [codes[i - 1], codes[i]], [codes[i - 2], codes[i], codes[0]])], "severity string, failure_reason string")
+    counted = log.agg(*A.log_counters())
+    assert "RLIKE" not in counted._jdf.queryExecution().optimizedPlan().toString().upper()
+    got, reasons = counted.first().asDict(), [r.failure_reason for r in log.collect()]
+    for name, rx in R.QUALITY_DIMENSIONS.items():
+        assert got[name.replace("_score", "_failures")] == sum(bool(re.search(rx, r)) for r in reasons)
+    for code in A.reason_codes():
+        assert got[f"reason:{code}"] == sum(code in r.split("; ") for r in reasons)
+
+
 def test_no_candidate_is_an_error(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         PL.run_files(spark, [f"{tmp_path}/a.csv"], str(tmp_path))

@@ -95,3 +95,19 @@ def test_only_rows_that_pass_the_duplicates_get_a_name(spark, raw):
         survivor = F.col("stage").isNull() | (F.col("stage") == "VALIDATE")
         assert res.audited.where(survivor & ~named).count() == 0 and res.audited.where(~survivor & named).count() == 0
         res.close()
+
+
+def test_keep_flags_are_words_of_32_bits(spark):
+    numbers = [0, 7, 8, 31, 32, 63, 32766, 32767, 32768, 65567, (1 << 33) + 31, (5 << 33) + 4095]
+    rows = spark.createDataFrame([(n + d,) for n in numbers for d in range(-1, 3) if n + d >= 0], f"{C.ROW} long").distinct()
+    bits = C.keep_bits(spark.createDataFrame([(n,) for n in numbers], f"{C.ROW} long"))
+    assert {len(r._words) for r in bits.collect()} == {1024}
+    assert sorted(r[C.ROW] for r in C.join_keep(rows, bits).where("_keep").collect()) == numbers
+
+
+def test_only_rows_that_pass_the_duplicates_get_region_and_country(spark, raw):
+    for res in (PL.run(raw, checkpoint=True), PL.run(raw)):
+        went = F.coalesce(F.col("stage").isin("CLEAN", "DEDUP"), F.lit(False))
+        assert res.audited.where(went & (F.col("region").isNotNull() | F.col("country").isNotNull())).count() == 0
+        assert res.audited.where(~went & F.col("region").isNotNull()).count() > 0
+        res.close()
